@@ -131,8 +131,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     """(id, ranges): words covered by a window that a smaller id has too, as int32 pairs of word offsets."""
     kind = docs.schema["id"].dataType.simpleString()
     pieces = saved(path_pieces(docs.where("id is not null"), window, k), "pieces")
-    shared = pieces.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("seed")
-    places = pieces.join(shared, "seed").select("id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    shared = saved(pieces.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("seed"), "shared")
+    # written first, so that beyond the broadcast bound both sides are plain exchanges, which AQE splits at a hot minimiser
+    places = pieces.join(maybe_broadcast(shared), "seed").select("id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
     ranges = saved(_by_document(places), "places")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
