@@ -90,6 +90,27 @@ def _counts(texts: DataFrame, keys_of, least: int = 1) -> DataFrame:
     return got.where(F.col("n") >= least) if least > 1 else got
 
 
+def _commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) by falling count and key of at most `most` rows: all above a cut on the count.
+
+    The cut comes from a histogram in bins of log2(count) / 64, some thousands of rows at
+    any size of the table, so no task merges the top rows of all others.
+    """
+    level = F.floor(F.log2("n") * 64)
+    held, cut = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > most:
+            break
+        cut = row["level"]
+    if cut is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = counts.where(level >= cut).toArrow()
+    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
+    order = np.lexsort((keys, -n))
+    return keys[order], n[order]
+
+
 class Automaton:
     """Head words, their counts, and the arcs and failure weights of the states."""
 
@@ -191,8 +212,7 @@ def train(texts: DataFrame, words: DataFrame) -> Automaton:
     """texts: one column of training texts; words: their counts (key, n), a saved table."""
     spark = texts.sparkSession
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
-    keys, n = (head[k].to_numpy() for k in ("key", "n"))
+    keys, n = _commonest(words, HEAD)
     model = Automaton(keys.astype(np.int64).view(np.uint64), n, int(total), int(distinct))
     if not len(keys):
         return model
@@ -213,8 +233,8 @@ def train(texts: DataFrame, words: DataFrame) -> Automaton:
 
     got = saved(_counts(texts, grams, least=2), "grams")
     for low, add in ((False, model.add_pairs), (True, model.add_triples)):
-        kept = got.where((F.col("key") >= (1 << 62)) == F.lit(low)).orderBy(F.desc("n"), "key").limit(ARCS).toArrow()
-        add(kept["key"].to_numpy() & ((1 << 62) - 1), kept["n"].to_numpy())
+        keys, n = _commonest(got.where((F.col("key") >= (1 << 62)) == F.lit(low)), ARCS)
+        add(keys & ((1 << 62) - 1), n)
     return model
 
 
