@@ -156,24 +156,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
                 path = pa.array([packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(seed)), pa.array((start - first[text]).astype(np.int32)), path], ["id", "seed", "start", "path"])
 
-    found = saved(_with_ranges(docs, ranges, "inner").mapInArrow(edges, f"id {kind}, seed long, start int, path binary"), "edges")
+    found = _with_ranges(docs, ranges, "inner").mapInArrow(edges, f"id {kind}, seed long, start int, path binary")
+    # a path is compared in full where paths compact, and goes on as its 128-bit name
+    found = found.withColumn("p1", F.xxhash64("path")).withColumn("p2", F.xxhash64(F.lit(1), "path"))
+    found = saved(found.withColumn("n", (F.octet_length("path") / 8).cast("int")), "edges")
+    name = ["seed", "p1", "p2"]
     # repeated paths without a branch: one row each
-    paths = saved(found.groupBy("seed", "path").agg(F.min("id").alias("lo")), "paths")
+    paths = saved(found.groupBy(*name, "path").agg(F.min("id").alias("lo")), "paths")
     each = _explode_edges(paths)
     least = each.groupBy("seed", "edge").agg(F.min("lo").alias("m"))
-    branched = each.join(least, ["seed", "edge"]).where("m < lo").groupBy("seed", "path_id").agg(F.collect_list(F.struct("at", "m")).alias("less"))
-    paths = paths.withColumn("path_id", F.xxhash64("path")).join(branched, ["seed", "path_id"], "left").select("seed", "path", "lo", "less")
-    sources = found.join(paths, ["seed", "path"])
+    branched = each.join(least, ["seed", "edge"]).where("m < lo").groupBy(*name).agg(F.collect_list(F.struct("at", "m")).alias("less"))
+    firsts = saved(paths.select(*name, "lo").join(branched, name, "left"), "firsts")
+    sources = found.select("id", "start", "n", *name).join(firsts, name)
     # an edge goes where its least document is smaller than the source
-    n = (F.octet_length("path") / 8).cast("int")
-    whole = sources.where("lo < id").select("id", F.col("start").alias("a"), (F.col("start") + n + (window - 1)).alias("b"))
+    whole = sources.where("lo < id").select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
     some = sources.where("lo = id and less is not null").select("id", "start", F.explode("less").alias("e")).where("e.m < id")
     some = some.select("id", (F.col("start") + F.col("e.at")).alias("a"), (F.col("start") + F.col("e.at") + window).alias("b"))
     return saved(_by_document(whole.unionByName(some)), "spans")
 
 
 def _explode_edges(paths: DataFrame) -> DataFrame:
-    """(seed, path_id, at, edge, lo) of every edge of the compacted paths."""
+    """(seed, p1, p2, at, edge, lo) of every edge of the compacted paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,10 +187,10 @@ def _explode_edges(paths: DataFrame) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(len(raw)), n))
                 at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
                 edge = np.frombuffer(b"".join(raw), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("seed").take(row), part.column("path_id").take(row), pa.array(at), pa.array(edge), part.column("lo").take(row)], ["seed", "path_id", "at", "edge", "lo"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in ("seed", "p1", "p2")), pa.array(at), pa.array(edge), part.column("lo").take(row)], ["seed", "p1", "p2", "at", "edge", "lo"])
 
     kind = paths.schema["lo"].dataType.simpleString()
-    return paths.select("seed", "path", "lo", F.xxhash64("path").alias("path_id")).mapInArrow(run, f"seed long, path_id long, at int, edge long, lo {kind}")
+    return paths.mapInArrow(run, f"seed long, p1 long, p2 long, at int, edge long, lo {kind}")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
