@@ -8,6 +8,8 @@ contains those bytes, so splitting bytes equals splitting code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,6 +76,32 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(maybe_broadcast(ids), docs[id_col] == ids["__drop_id"], "left_anti")
 
 
+def least_hashed(rows: DataFrame, order: str, k: int, count: int) -> DataFrame:
+    """The rows among which the k of least order lie: order is a 64-bit hash of an id, count the rows of the table.
+
+    A cut on the hash leaves about 1.5 k rows at any size of the table, so that no task merges
+    the least rows of all others.
+    """
+    if count <= 2 * k + 200:
+        return rows
+    cut = -(1 << 63) + int((1 << 64) * (1.5 * k + 200) / count)
+    return rows.where(F.col(order) <= F.lit(cut))
+
+
+def released(run):
+    """run for mapInArrow; the worker gives its freed memory back when the task ends, as workers are kept."""
+
+    def with_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return with_release
+
+
 # ---------------------------------------------------------------- hashing
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

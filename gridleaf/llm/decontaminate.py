@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lookup, small_batches, split_words, table, without_ids, word_hashes
+from .common import chunks, lookup, released, small_batches, split_words, table, without_ids, word_hashes
 
 BLOCK = 24
 SKETCH = 32
@@ -156,7 +156,7 @@ def _sketch(docs: DataFrame, bench: Benchmark) -> tuple[int, np.ndarray, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([passages], pa.int64())] + [pa.array([0.0])] * SKETCH, ["f", "df", *cols])
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df[seen])] + [pa.array(np.ascontiguousarray(z[seen, i])) for i in range(SKETCH)], ["f", "df", *cols])
 
-    rows = docs.select("text").mapInArrow(run, "f int, df long, " + ", ".join(f"{c} double" for c in cols))
+    rows = docs.select("text").mapInArrow(released(run), "f int, df long, " + ", ".join(f"{c} double" for c in cols))
     got = rows.groupBy("f").agg(F.sum("df").alias("df"), *(F.sum(c).alias(c) for c in cols)).toArrow()
     f, d = got["f"].to_numpy(), got["df"].to_numpy()
     df, z = np.zeros(n), np.zeros((n, SKETCH))
@@ -229,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ids = batch.column(0).slice(c.lo, c.hi - c.lo).take(pa.array(text))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([bench.ids[i] for i in item], item_type), *(pa.array(x, pa.float64()) for x in rest)], ["id", "item_id", "cosine", "lcs_ratio", "answer_ratio"])
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(released(run), schema).withColumnRenamed("id", id_col)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

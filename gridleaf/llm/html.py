@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast, saved, small_batches, table
+from .common import BROADCAST_ROWS, maybe_broadcast, released, saved, small_batches, table
 
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.3
@@ -268,7 +268,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
 
     total = pages.groupBy("host").count().withColumnRenamed("count", "pages").where(F.col("pages") >= TEMPLATE_PAGES)
-    found = pages.select("html", "host").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
+    found = pages.select("html", "host").mapInArrow(released(run), "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
     found = found.join(total, "host").where(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
     return found.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
@@ -292,7 +292,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     joined = rows.join(wide, F.col("host") == F.col("of"), "left").select("id", "url", "html", "templates")
-    return joined.mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    return joined.mapInArrow(released(run), f"id {kinds[0]}, url {kinds[1]}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

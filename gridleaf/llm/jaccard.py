@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, connected, maybe_broadcast, mix, saved, signed, small_batches, span_hash, split_words, splitmix, table, without_ids, word_hashes
+from .common import chunks, connected, maybe_broadcast, mix, released, saved, signed, small_batches, span_hash, split_words, splitmix, table, without_ids, word_hashes
 
 N = 5
 THRESHOLD = 0.8
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(signed(sets[0])), pa.array(signed(sets[1])), pa.array(size.astype(np.int64)), lists], ["id", "set_a", "set_b", "grams", "marks"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, set_a long, set_b long, grams long, marks array<long>")
+    return docs.mapInArrow(released(run), f"id {kind}, set_a long, set_b long, grams long, marks array<long>")
 
 
 class _Forest:
@@ -215,7 +215,7 @@ def _links(texts: DataFrame, placed: DataFrame, reps: DataFrame, n: int, thresho
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), sets], ["id", "grams"])
 
     wanted = maybe_broadcast(placed.select("rep"))
-    sets = texts.join(wanted, F.col("id") == F.col("rep"), "left_semi").mapInArrow(gram_sets, "id long, grams binary")
+    sets = texts.join(wanted, F.col("id") == F.col("rep"), "left_semi").mapInArrow(released(gram_sets), "id long, grams binary")
     copies = reps.select(F.col("rep").alias("of"), "copies").groupBy("of").agg(F.sum("copies").alias("copies"))
     rows = placed.join(copies, F.col("rep") == F.col("of")).join(sets, F.col("rep") == F.col("id")).select("id", "root", "block", "blocks", "copies", "grams")
     # the block pairs of a component: each block with itself and with every other one, once

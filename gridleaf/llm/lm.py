@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, counted, lookup, saved, signed, small_batches, split_words, table, word_hashes
+from .common import chunks, counted, lookup, released, saved, signed, small_batches, split_words, table, word_hashes
 
 HEAD = 1 << 17
 PAIR_WORDS = 1 << 15
@@ -86,7 +86,7 @@ def _rows(got: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
 
 
 def _counts(texts: DataFrame, keys_of, least: int = 1) -> DataFrame:
-    got = texts.mapInArrow(_count_rows(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = texts.mapInArrow(released(_count_rows(keys_of)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return got.where(F.col("n") >= least) if least > 1 else got
 
 
@@ -255,7 +255,7 @@ def score_texts(docs: DataFrame, model: Automaton, words: DataFrame, id_col: str
                 yield pa.RecordBatch.from_arrays([ids, none(k), none(k), *map(pa.array, (size.astype(np.int64), known, base, score))], names)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(signed(h)), pa.array(n.astype(np.int64)), none(len(doc)), none(len(doc)), none(len(doc), pa.float64()), none(len(doc), pa.float64())], names)
 
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, key long, n long, n_tokens long, n_known long, base double, score double")
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), f"id {kind}, key long, n long, n_tokens long, n_known long, base double, score double")
     rows = saved(rows, "scored")
     rare = rows.where("key is not null").select("id", "key", "n")
     c = words.select("key", F.col("n").alias("c"))

@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lookup, mix, powers, small_batches, table
+from .common import chunks, lookup, mix, powers, released, small_batches, table
 
 MODEL_PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = 0x2581  # the space mark of this model format
@@ -366,7 +366,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", to: str = "tok
                 part = batch.slice(c.lo, c.hi - c.lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, to])
 
-    return docs.mapInArrow(run, _schema(docs, f"`{to}` array<int>"))
+    return docs.mapInArrow(released(run), _schema(docs, f"`{to}` array<int>"))
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -380,15 +380,30 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "token_ids", to: str =
             texts = [shared.value.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
-    return rows.mapInArrow(run, _schema(rows, f"`{to}` string"))
+    return rows.mapInArrow(released(run), _schema(rows, f"`{to}` string"))
 
 
 def round_trip(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """doc_id, token_ids, n_tokens, round_trip (decoding gives the text back)."""
+    """doc_id, token_ids, n_tokens, round_trip (decoding gives the text back), in one pass of one Python worker."""
     small_batches(docs.sparkSession)
-    model = Model.read(model_path)
-    out = decode(encode(docs.select("doc_id", "text"), model), model)
-    return out.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    shared = docs.sparkSession.sparkContext.broadcast(Model.read(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(1)
+            for c in chunks(texts):
+                ids, first = model.encode_chunk(c)
+                own = texts.slice(c.lo, c.hi - c.lo)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))
+                if own.null_count:
+                    lists = pa.compute.if_else(own.is_null(), pa.nulls(len(lists), lists.type), lists)
+                same = [t is None or t == model.decode(ids[a:b].tolist()) for t, a, b in zip(own.to_pylist(), first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), lists, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, token_ids array<int>, round_trip boolean")
+    return out.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

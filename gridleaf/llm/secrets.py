@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -148,7 +148,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[:, i]) for i in range(4)), pa.array(base_s, pa.string()), pa.array(spans_s, pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_entropy", "base", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, _SCHEMA.format(kind)).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(scan), _SCHEMA.format(kind)).withColumnRenamed("id", id_col)
 
 
 def digest(base: str) -> str:

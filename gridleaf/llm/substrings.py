@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, maybe_broadcast, powers, saved, signed, small_batches, span_hash, split_words, table, word_hashes
+from .common import BROADCAST_ROWS, chunks, maybe_broadcast, powers, released, saved, signed, small_batches, span_hash, split_words, table, word_hashes
 
 WINDOW = 50
 K = 20
@@ -93,7 +93,7 @@ def path_pieces(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(seed)), pa.array((start - first[text]).astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "seed", "start", "n"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, seed long, start int, n int")
+    return docs.mapInArrow(released(run), f"id {kind}, seed long, start int, n int")
 
 
 def _ranges(starts_and_ends: list) -> bytes:
@@ -117,7 +117,7 @@ def _by_document(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["id", "ranges"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return lists.mapInArrow(run, f"id {kind}, ranges binary")
+    return lists.mapInArrow(released(run), f"id {kind}, ranges binary")
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
@@ -156,7 +156,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
                 path = pa.array([packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(seed)), pa.array((start - first[text]).astype(np.int32)), path], ["id", "seed", "start", "path"])
 
-    found = _with_ranges(docs, ranges, "inner").mapInArrow(edges, f"id {kind}, seed long, start int, path binary")
+    found = _with_ranges(docs, ranges, "inner").mapInArrow(released(edges), f"id {kind}, seed long, start int, path binary")
     # a path is compared in full where paths compact, and goes on as its 128-bit name
     found = found.withColumn("p1", F.xxhash64("path")).withColumn("p2", F.xxhash64(F.lit(1), "path"))
     found = saved(found.withColumn("n", (F.octet_length("path") / 8).cast("int")), "edges")
@@ -190,7 +190,7 @@ def _explode_edges(paths: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in ("seed", "p1", "p2")), pa.array(at), pa.array(edge), part.column("lo").take(row)], ["seed", "p1", "p2", "at", "edge", "lo"])
 
     kind = paths.schema["lo"].dataType.simpleString()
-    return paths.mapInArrow(run, f"seed long, p1 long, p2 long, at int, edge long, lo {kind}")
+    return paths.mapInArrow(released(run), f"seed long, p1 long, p2 long, at int, edge long, lo {kind}")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -217,7 +217,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    return _with_ranges(docs, spans, "left").mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    return _with_ranges(docs, spans, "left").mapInArrow(released(cut), f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
