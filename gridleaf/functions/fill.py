@@ -47,9 +47,10 @@ def interior(pixels: Column, width: int, height: int) -> Column:
 def pixel_fill(pixels: Column) -> Column:
     """Score of an interior: dark share, texture and intensity; 0 for an empty one."""
     score = 0.5 * F.least(F.lit(1.0), share_below(pixels, 200) * 5.0) + 0.3 * F.least(F.lit(1.0), variance(pixels) / 1000.0) + 0.2 * F.greatest(F.lit(0.0), 1.0 - mean(pixels) / 255.0)
-    return F.coalesce(score, F.lit(0.0))
+    return F.when(F.size(pixels) > 0, score).otherwise(0.0)
 
 
 def pixel_fill_older(pixels: Column, dark: int = 200) -> Column:
     """The older score: dark share and texture."""
-    return F.coalesce(0.7 * share_below(pixels, dark) + 0.3 * F.least(F.lit(1.0), variance(pixels) / 1000.0), F.lit(0.0))
+    score = 0.7 * share_below(pixels, dark) + 0.3 * F.least(F.lit(1.0), variance(pixels) / 1000.0)
+    return F.when(F.size(pixels) > 0, score).otherwise(0.0)
