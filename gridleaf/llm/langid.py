@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lookup, small_batches, table
+from .common import chunks, least_hashed, lookup, released, small_batches, table
 
 ORDER = 3
 TRAIN_DOCS = 600
@@ -178,10 +178,11 @@ def _letters(chunk) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "order") -> Model:
     """The model of at most MAX_LANGS languages, each of at most TRAIN_DOCS texts."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(order_col).alias("order"), F.col(text_col).alias("text"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    rows = rows.where(F.octet_length("text") <= TRAIN_BYTES)
+    langs = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     texts: dict[str, list[bytes]] = {k: [] for k in sorted(langs)}
-    for lang in texts:  # each a top-n over its rows: no task holds a language
-        own = rows.where((F.col("lang") == lang) & (F.octet_length("text") <= TRAIN_BYTES)).orderBy("order", "text").limit(TRAIN_DOCS)
+    for lang in texts:
+        own = least_hashed(rows.where(F.col("lang") == lang), "order", TRAIN_DOCS, langs[lang]).orderBy("order", "text").limit(TRAIN_DOCS)
         got = own.select("text").toArrow()["text"].combine_chunks()
         for c in chunks(got):
             folded, offs = _folded(c)
@@ -207,7 +208,7 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text", pref
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(bits))], [*batch.schema.names, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _fold5(id_col: str = "doc_id") -> F.Column:
