@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTES_LOWER, chunks, hash_word, mix, powers, small_batches, split_words, table
+from .common import _BYTES_LOWER, chunks, hash_word, least_hashed, mix, powers, released, small_batches, split_words, table
 
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 100_000
@@ -242,7 +242,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
     """labelled: text, label 0/1 and a value whose least TRAIN_DOCS rows form the sample."""
     sample = labelled.where(F.col(label_col).isNotNull() & (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= TRAIN_BYTES))
     sample = sample.select(F.col(order_col).alias("order"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")).orderBy("order", "label").limit(TRAIN_DOCS)
-    got = sample.select("label", "text").mapInArrow(_featurise, "label int, ids binary, whole binary").toArrow()
+    got = sample.select("label", "text").mapInArrow(released(_featurise), "label int, ids binary, whole binary").toArrow()
     texts = [(np.frombuffer(a, np.int32).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(b, np.uint64)) for a, b in zip(got["ids"].to_pylist(), got["whole"].to_pylist(), strict=True)]
     return train(texts, np.array(got["label"].to_pylist(), np.int64))
 
@@ -257,7 +257,7 @@ def score_toxicity(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col:
             for c in chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(shared.value.score(*_features(c)), pa.float64())], ["id", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scored, f"id {kind}, score double").select(F.col("id").alias(id_col), "score")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(scored), f"id {kind}, score double").select(F.col("id").alias(id_col), "score")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +266,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     labels = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("labelled"), F.col("toxic").alias("label"))
     # choose the sample on ids alone; its rows are at most TRAIN_DOCS and some more for long texts
-    chosen = labels.withColumn("order", F.xxhash64("labelled")).where(F.pmod(F.crc32(F.col("labelled").cast("string")), F.lit(3)) != 1).orderBy("order", "label").limit(TRAIN_DOCS * 5 // 4)
+    usable = labels.withColumn("order", F.xxhash64("labelled")).where(F.pmod(F.crc32(F.col("labelled").cast("string")), F.lit(3)) != 1)
+    most = TRAIN_DOCS * 5 // 4
+    chosen = least_hashed(usable, "order", most, usable.count()).orderBy("order", "label").limit(most)
     net = fit(docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled"]))
     return score_toxicity(docs, net).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
