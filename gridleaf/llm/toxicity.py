@@ -140,8 +140,8 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11) -> Net:
-    """texts: (bucket ids, whole-word hashes) of each text."""
+def train(texts: list[np.ndarray], groups: np.ndarray, labels: np.ndarray, seed: int = 11) -> Net:
+    """texts: bucket ids [words, features] of each text; groups: their language groups."""
     net = Net(seed)
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
@@ -155,8 +155,8 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
     for epoch in range(EPOCHS):
         rate = 0.08 * (1 - epoch / EPOCHS) + 0.01
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 64)):
-            ids = np.concatenate([texts[i][0] for i in part])
-            first = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in part])])
+            ids = np.concatenate([texts[i] for i in part])
+            first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
             best, (begin, ends, maps), x = net.pooled(ids, first)
             p = 1 / (1 + np.exp(-np.clip(best @ net.out + net.bias, -30, 30)))
             d = (p - labels[part]) * weight[part] / len(part)
@@ -191,7 +191,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
                 np.add.at(g, inv, vals)
                 grads["E"][uniq] += (g**2).mean(1, keepdims=True)
                 net.E[uniq] -= rate * g / (np.sqrt(grads["E"][uniq]) + 1e-4)
-    _calibrate(net, texts, labels)
+    _calibrate(net, texts, groups, labels)
     return net
 
 
@@ -201,15 +201,13 @@ def _step(net: Net, key, grad: np.ndarray, grads: dict, rate: float) -> None:
     value -= (rate * grad / (np.sqrt(grads[key]) + 1e-6)).astype(np.float32)
 
 
-def _calibrate(net: Net, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
+def _calibrate(net: Net, texts: list[np.ndarray], groups: np.ndarray, labels: np.ndarray) -> None:
     """Per language group, the raw threshold midway between labels with the best balanced accuracy."""
-    raw, groups = [], []
+    raw = []
     for i in range(0, len(texts), 256):
         part = texts[i : i + 256]
-        first = np.concatenate([[0], np.cumsum([len(t[0]) for t in part])])
-        raw.append(net.raw(np.concatenate([t[0] for t in part]), first))
-        groups.append(_groups(np.concatenate([t[1] for t in part]), first))
-    raw, groups = np.concatenate(raw), np.concatenate(groups)
+        raw.append(net.raw(np.concatenate(part), np.concatenate([[0], np.cumsum([len(t) for t in part])])))
+    raw = np.concatenate(raw)
     net.cut[:] = _best_cut(raw, labels)
     for g in range(len(net.cut)):
         own = groups == g
@@ -233,18 +231,18 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, whole, first = _features(c)
             yield pa.RecordBatch.from_arrays([
                 batch.column("label").slice(c.lo, c.hi - c.lo).cast(pa.int32()),
-                pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
-                pa.array([whole[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
-            ], ["label", "ids", "whole"])
+                pa.array([ids[a:b].astype(np.uint16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
+                pa.array(_groups(whole, first).astype(np.int32)),
+            ], ["label", "ids", "group"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "order") -> Net:
     """labelled: text, label 0/1 and a value whose least TRAIN_DOCS rows form the sample."""
     sample = labelled.where(F.col(label_col).isNotNull() & (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= TRAIN_BYTES))
     sample = sample.select(F.col(order_col).alias("order"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")).orderBy("order", "label").limit(TRAIN_DOCS)
-    got = sample.select("label", "text").mapInArrow(released(_featurise), "label int, ids binary, whole binary").toArrow()
-    texts = [(np.frombuffer(a, np.int32).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(b, np.uint64)) for a, b in zip(got["ids"].to_pylist(), got["whole"].to_pylist(), strict=True)]
-    return train(texts, np.array(got["label"].to_pylist(), np.int64))
+    got = sample.select("label", "text").mapInArrow(released(_featurise), "label int, ids binary, group int").toArrow()
+    texts = [np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]]
+    return train(texts, got["group"].to_numpy().astype(np.int64), got["label"].to_numpy().astype(np.int64))
 
 
 def score_toxicity(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
