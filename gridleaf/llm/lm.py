@@ -1,17 +1,17 @@
 """Operator 10: language-model scores by a weighted backoff automaton.
 
-States are the empty history, words, and pairs of words; arcs are the kept n-grams with
-their smoothed log-probabilities (absolute discounting), and each state has a failure
-arc to the history without its first word, weighted so that a state's arcs sum to one.
-A text is read once from left to right: the state is carried, a missing arc follows
-failure arcs and pays their weights, and log-probabilities accumulate. All documents of
-a chunk take the same step at once on arrays.
-
-Counts cover all training texts. Unigram counts are exact for every word: the HEAD
-commonest words (a bounded table) score inside the automaton's task, the others' counts
-are joined by word hash, so no table grows with the vocabulary. Bigrams are kept among the
-PAIR_WORDS commonest words, trigrams among the TRIPLE_WORDS commonest, at most ARCS of
-each by count: these bounds are the model's size, not the data's.
+States are the empty history and every word; arcs are all word pairs seen LEAST times or
+more in training. An arc v -> w has the probability (n - DISCOUNT + back(v) U(w)) / (c(v) + PRIOR),
+U being the base's unigram probability, and a state's failure arc to the empty history
+weighs back(v) / (c(v) + PRIOR), where back(v) = PRIOR + c(v) - sum of its arcs' (n - DISCOUNT):
+the arcs of each state sum to one with what they leave to failure. A text is read once from
+left to right: the state is carried, a missing arc follows the failure arc and pays its
+weight, and log-probabilities accumulate. All texts of a chunk take the step at once on arrays.
+
+The model has no bound on its size. The HEAD commonest words and the ARCS commonest arcs are
+held in each task; where the walk meets another word or arc it takes the failure arc and asks
+for the difference, (id, v, w, times), which one join with the whole table of words and arcs
+answers. The two bounds decide where an answer comes from, never what it is.
 
 Tokens: A-Z lower-cased, words, then one end a text. Defined cases: a null or empty text
 is its end alone; with no training text N = V = 0 and every token has probability
@@ -21,23 +21,29 @@ their own rows by adding up over one id (their sums are added). Extra columns ar
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, counted, lookup, released, saved, signed, small_batches, split_words, table, word_hashes
+from .common import chunks, counted, lookup, mix, released, saved, signed, small_batches, split_words, table, word_hashes
 
 HEAD = 1 << 17
-PAIR_WORDS = 1 << 15
-TRIPLE_WORDS = 1 << 10
-ARCS = 1 << 19
+ARCS = 1 << 20
+LEAST = 2
 DISCOUNT = 0.5
+PRIOR = 1.0
 #: Distinct keys that a task gathers before it passes them on to the shuffle.
 FLUSH = 1 << 20
 _END = np.uint64(0x1)  # the end token's hash; words have mixed hashes
+#: A word's code is its place in the head, or its hash with this bit (a negative number).
+_RARE = np.uint64(1 << 63)
+#: In place of an arc's second word: the row asks for the first word itself, or holds a text's own sums.
+_WORD, _TEXT = 1 << 40, 1 << 41
 
 
 def tokens(chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +91,30 @@ def _rows(got: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(got[0].astype(np.uint64))), pa.array(got[1].astype(np.int64))], ["key", "n"])
 
 
-def _counts(texts: DataFrame, keys_of, least: int = 1) -> DataFrame:
-    got = texts.mapInArrow(released(_count_rows(keys_of)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return got.where(F.col("n") >= least) if least > 1 else got
+def _counts(texts: DataFrame, keys_of) -> DataFrame:
+    return texts.mapInArrow(released(_count_rows(keys_of)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) by falling count and key of at most `most` rows: all above a cut on the count.
+def _runs(group: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct (group, v, w) and the sums of n (1 each by default); group is under 2**10."""
+    with np.errstate(over="ignore"):
+        key = mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
+    order = np.argsort(group.astype(np.uint64) << np.uint64(54) | key >> np.uint64(10))
+    group, v, w = group[order], v[order], w[order]
+    # pairs whose keys are equal by chance may stay in several runs, which only makes more rows
+    new = np.ones(len(v), bool)
+    new[1:] = (group[1:] != group[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return group, v, w, np.zeros(0, np.int64)
+    n = np.diff(np.append(at, len(v))) if n is None else np.add.reduceat(n[order], at)
+    return group[at], v[at], w[at], n.astype(np.int64)
 
-    The cut comes from a histogram in bins of log2(count) / 64, some thousands of rows at
+
+def _commonest(counts: DataFrame, most: int) -> pa.Table:
+    """At most `most` rows of the greatest n: all above a cut, so rows of one n come together.
+
+    The cut comes from a histogram in bins of log2(n) / 64, some thousands of rows at
     any size of the table, so no task merges the top rows of all others.
     """
     level = F.floor(F.log2("n") * 64)
@@ -103,16 +124,23 @@ def _commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if held > most:
             break
         cut = row["level"]
-    if cut is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    got = counts.where(level >= cut).toArrow()
-    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
-    order = np.lexsort((keys, -n))
-    return keys[order], n[order]
+    return (counts.where(F.lit(False)) if cut is None else counts.where(level >= cut)).toArrow()
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that are written by now."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def _log_back(c, kept):
+    """log10 weight of a failure arc; Columns or arrays."""
+    log10 = np.log10 if isinstance(c, np.ndarray) else F.log10
+    return log10((c - kept + PRIOR) / (c + PRIOR))
 
 
 class Automaton:
-    """Head words, their counts, and the arcs and failure weights of the states."""
+    """Head words with their failure weights, and the commonest arcs with what each adds to failing."""
 
     def __init__(self, head: np.ndarray, head_n: np.ndarray, total: int, distinct: int):
         """head: hashes by falling count; an id is a place in it."""
@@ -120,151 +148,169 @@ class Automaton:
         self.keys, self.ids = head[order], order.astype(np.int64)
         self.n = head_n.astype(np.float64)
         self.total, self.distinct = total, distinct
-        self.log_total = np.log10(total + 0.5 * (distinct + 1))
+        self.log_total = float(np.log10(total + 0.5 * (distinct + 1)))
         self.uni = np.log10(self.n + 0.5) - self.log_total
-        none = np.zeros(0, np.int64)
-        self.arc2, self.p2, self.arc3, self.p3 = none, np.zeros(0), none, np.zeros(0)
-        self.fail1 = np.zeros(len(head))  # by word id
-        self.state2, self.fail2 = none, np.zeros(0)
+        self.kept = np.zeros(len(head))  # of each head word's count, what its arcs hold
+        self.fail = np.zeros(len(head))
+        self.arcs, self.gain = np.zeros(0, np.int64), np.zeros(0)
 
-    def unigram(self, count) -> np.ndarray:
-        return np.log10(np.asarray(count, np.float64) + 0.5) - self.log_total
+    def add_states(self, ids: np.ndarray, kept: np.ndarray) -> None:
+        self.kept[ids] = kept
+        self.fail = _log_back(self.n, self.kept)
 
-    def number(self, h: np.ndarray) -> np.ndarray:
-        """Head ids of token hashes, -1 for others."""
-        at = lookup(self.keys, h)
-        return np.where(at >= 0, self.ids[at] if len(self.ids) else -1, -1)
-
-    def add_pairs(self, arcs: np.ndarray, counts: np.ndarray) -> None:
-        """arcs: u << 32 | w."""
+    def add_arcs(self, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+        arcs = v << 32 | w
         order = np.argsort(arcs)
-        self.arc2, counts = arcs[order], counts[order].astype(np.float64)
-        u, w = self.arc2 >> 32, self.arc2 & 0xFFFFFFFF
-        p = (counts - DISCOUNT) / self.n[u]
-        left = 1 - np.bincount(u, p, len(self.n))
-        below = 1 - np.bincount(u, 10 ** self.uni[w], len(self.n))
-        self.p2, self.fail1 = np.log10(p), np.log10(np.maximum(left, 1e-12)) - np.log10(np.maximum(below, 1e-12))
-        self.fail1[np.bincount(u, minlength=len(self.n)) == 0] = 0
-
-    def add_triples(self, arcs: np.ndarray, counts: np.ndarray, bits: int = 10) -> None:
-        """arcs: (u << bits | v) << bits | w; kept where the pair (u, v) is an arc, whose count is the history's."""
-        u, v, w = arcs >> (2 * bits), (arcs >> bits) & ((1 << bits) - 1), arcs & ((1 << bits) - 1)
-        at = lookup(self.arc2, u << 32 | v)
-        ok = at >= 0
-        u, v, w, at, counts = u[ok], v[ok], w[ok], at[ok], counts[ok].astype(np.float64)
-        history = np.rint(10 ** self.p2[at] * self.n[u] + DISCOUNT)
-        states, inv = np.unique(u << 32 | v, return_inverse=True)
-        p = (counts - DISCOUNT) / history
-        lower = self._pair(v, w)
-        left, below = 1 - np.bincount(inv, p, len(states)), 1 - np.bincount(inv, 10**lower, len(states))
-        self.state2 = states
-        self.fail2 = np.log10(np.maximum(left, 1e-12)) - np.log10(np.maximum(below, 1e-12))
-        keys = inv.astype(np.int64) << 32 | w
-        order = np.argsort(keys)
-        self.arc3, self.p3 = keys[order], np.log10(p[order])
-
-    def _pair(self, v: np.ndarray, w: np.ndarray, uni: np.ndarray | None = None) -> np.ndarray:
-        """log10 P(w | v) from the state v (-1: the empty history); w is -1 for words outside the head, at 0 then."""
-        uni = np.where(w >= 0, self.uni[w], 0.0) if uni is None else uni
-        out = np.where(v >= 0, self.fail1[v] if len(self.fail1) else 0, 0) + uni
-        may = np.flatnonzero((v >= 0) & (w >= 0))
-        at = lookup(self.arc2, v[may] << 32 | w[may])
-        out[may[at >= 0]] = self.p2[at[at >= 0]]
-        return out
-
-    def steps(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """What each token adds; a token outside the head adds its failure weights only."""
-        n = len(ids)
-        v, u = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        v[1:], u[2:] = ids[:-1], ids[:-2]
-        start = first[:-1]
-        v[start] = u[start] = -1
-        u[(start + 1)[start + 1 < n]] = -1
-        u[v < 0] = -1
-        if not len(self.n):
-            return np.zeros(n)
-        out = self._pair(v, ids)
-        may = np.flatnonzero((u >= 0) & (v >= 0))
-        st = lookup(self.state2, u[may] << 32 | v[may])
-        may, st = may[st >= 0], st[st >= 0]
-        at = lookup(self.arc3, np.where(ids[may] >= 0, st << 32 | np.maximum(ids[may], 0), -1))
-        out[may] = np.where(at >= 0, self.p3[at] if len(self.p3) else 0, self.fail2[st] + out[may])
-        return out
+        v, w = v[order], w[order]
+        self.arcs = arcs[order]
+        self.gain = np.log10(1 + (n[order] - DISCOUNT) / ((self.n[v] - self.kept[v] + PRIOR) * 10 ** self.uni[w]))
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Codes of token hashes: places in the head, negative for other words."""
+        at = lookup(self.keys, h)
+        return np.where(at >= 0, self.ids[at] if len(self.ids) else -1, signed(h | _RARE))
+
+    def steps(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each token adds, whether its arc has to be asked for); rare words add nothing here."""
+        v = np.empty_like(codes)
+        v[1:] = codes[:-1]
+        start = np.zeros(len(codes), bool)
+        start[first[:-1]] = True
+        v[start] = -1
+        out = np.where(codes >= 0, self.uni[np.maximum(codes, 0)], 0.0) if len(self.n) else np.zeros(len(codes))
+        ask = ~start
+        state = np.flatnonzero(v >= 0)
+        out[state] += self.fail[v[state]]
+        both = state[codes[state] >= 0]
+        at = lookup(self.arcs, v[both] << 32 | codes[both])
+        both, at = both[at >= 0], at[at >= 0]
+        out[both] += self.gain[at]
+        ask[both] = False
+        return out, ask
 
     def score(self, chunk) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, head tokens, base and model sums over the head; (text, hash, count) of other words."""
+        """Per text: tokens, head tokens, base and model sums; then what is asked for: text, v, w, times."""
         h, first = tokens(chunk)
-        ids = self.number(h)
-        inside = ids >= 0
-        base = np.where(inside, self.uni[ids] if len(self.uni) else 0.0, 0.0)
+        codes = self.codes(h)
+        inside = codes >= 0
+        base = np.where(inside, self.uni[np.maximum(codes, 0)], 0.0) if len(self.uni) else np.zeros(len(h))
+        steps, ask = self.steps(codes, first)
         cut = first[:-1]
-        sums = [np.add.reduceat(x, cut) for x in (inside.astype(np.int64), base, self.steps(ids, first))]
-        doc = np.repeat(np.arange(len(cut)), np.diff(first))[~inside]
-        order = np.lexsort((h[~inside], doc))
-        doc, out = doc[order], h[~inside][order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (out[1:] != out[:-1])
-        at = np.flatnonzero(new)
-        return np.diff(first), *sums, doc[at], out[at], np.diff(np.append(at, len(doc)))
+        sums = [np.add.reduceat(x, cut) for x in (inside.astype(np.int64), base, steps)]
+        text = np.repeat(np.arange(len(cut)), np.diff(first))
+        arc, rare = np.flatnonzero(ask), np.flatnonzero(~inside)
+        asked = _runs(
+            np.concatenate([text[arc], text[rare]]),
+            np.concatenate([codes[arc - 1], codes[rare]]),
+            np.concatenate([codes[arc], np.full(len(rare), _WORD)]),
+        )
+        return np.diff(first), *sums, *asked
+
+
+class Model(NamedTuple):
+    """An automaton, and tables for what it does not hold."""
+
+    automaton: Automaton
+    words: DataFrame  # code, c, kept of words outside the head
+    arcs: DataFrame  # v, w, x: arcs outside the automaton add log10(1 + x) to failing
 
 
-def train(texts: DataFrame, words: DataFrame) -> Automaton:
+def _arc_counts(texts: DataFrame, shared) -> DataFrame:
+    """(v, w, n) of all word pairs of a table of one text column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(k) for k in x[1:]], ["v", "w", "n"])
+        merge = lambda parts: _runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        parts, held = [], 0
+        for batch in batches:
+            for c in chunks(batch.column(0)):
+                h, first = tokens(c)
+                codes = shared.value.codes(h)
+                inner = np.ones(len(codes), bool)
+                inner[first[:-1]] = False
+                at = np.flatnonzero(inner)
+                parts.append(_runs(np.zeros(len(at), np.int64), codes[at - 1], codes[at]))
+                held += len(parts[-1][0])
+                if held > FLUSH:
+                    parts = [merge(parts)]
+                    held = len(parts[0][0])
+                    if held > FLUSH // 2:
+                        yield rows(parts.pop())
+                        held = 0
+        if parts:
+            yield rows(merge(parts))
+
+    return texts.mapInArrow(released(run), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+
+
+def train(texts: DataFrame, words: DataFrame) -> Model:
     """texts: one column of training texts; words: their counts (key, n), a saved table."""
     spark = texts.sparkSession
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys, n = _commonest(words, HEAD)
-    model = Automaton(keys.astype(np.int64).view(np.uint64), n, int(total), int(distinct))
-    if not len(keys):
-        return model
+    top = _commonest(words, HEAD)
+    keys, n = top["key"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((keys, -n))
+    model = Automaton(np.ascontiguousarray(keys[order]).view(np.uint64), n[order], int(total), int(distinct))
     shared = spark.sparkContext.broadcast(model)  # HEAD words at most
-
-    def grams(c) -> np.ndarray:
-        """Bigrams below, trigrams from 1 << 62 on."""
-        h, first = tokens(c)
-        ids = shared.value.number(h)
-        fresh = np.zeros(len(ids), bool)
-        fresh[first[:-1]] = True
-        two = np.flatnonzero(~fresh[1:] & (ids[1:] >= 0) & (ids[1:] < PAIR_WORDS) & (ids[:-1] >= 0) & (ids[:-1] < PAIR_WORDS))
-        pairs = ids[two] << 32 | ids[two + 1]
-        small = (ids >= 0) & (ids < TRIPLE_WORDS)
-        three = np.flatnonzero(small[2:] & small[1:-1] & small[:-2] & ~fresh[2:] & ~fresh[1:-1])
-        triples = (ids[three] << 20 | ids[three + 1] << 10 | ids[three + 2]) | (1 << 62)
-        return np.concatenate([pairs, triples]).astype(np.uint64)
-
-    got = saved(_counts(texts, grams, least=2), "grams")
-    for low, add in ((False, model.add_pairs), (True, model.add_triples)):
-        keys, n = _commonest(got.where((F.col("key") >= (1 << 62)) == F.lit(low)), ARCS)
-        add(keys & ((1 << 62) - 1), n)
-    return model
-
-
-def score_texts(docs: DataFrame, model: Automaton, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    arcs = saved(_arc_counts(texts, shared).where(F.col("n") >= LEAST), "arcs")
+    _release(spark)
+    states = saved(arcs.groupBy("v").agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("kept")), "states")
+    own = states.where("v >= 0").toArrow()  # HEAD rows at most
+    model.add_states(own["v"].to_numpy(), own["kept"].to_numpy())
+    head = (F.col("v") >= 0) & (F.col("w") >= 0)
+    top = _commonest(arcs.where(head), ARCS)
+    model.add_arcs(top["v"].to_numpy(), top["w"].to_numpy(), top["n"].to_numpy())
+    inside = F.lit(False) if not len(top) else head & (F.col("n") >= int(top["n"].to_numpy().min()))
+
+    rare = words.where(F.col("n") < int(n.min())) if len(n) else words
+    rare = rare.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("code"), F.col("n").alias("c"))
+    kept = states.where("v < 0").select(F.col("v").alias("code"), "kept")
+    rare = saved(rare.join(kept, "code", "left").select("code", "c", F.coalesce("kept", F.lit(0.0)).alias("kept")), "rare")
+
+    ids = np.arange(len(model.n))
+    common = F.broadcast(spark.createDataFrame(pa.table({"code": ids, "c": n[order], "kept": model.kept}), "code long, c long, kept double"))  # HEAD rows at most
+    rest = arcs.where(~inside)
+    for at in ("v", "w"):
+        # a common word has very many arcs: it is answered by the broadcast rows, others by a shuffle
+        with_word = lambda few: few.select(F.col("code").alias(at), F.col("c").alias(f"c_{at}"), F.col("kept").alias(f"kept_{at}"))  # noqa: E731, B023
+        rest = rest.where(F.col(at) >= 0).join(with_word(common), at).unionByName(rest.where(F.col(at) < 0).join(with_word(rare), at))
+    chance = (F.col("c_w") + 0.5) / F.lit(float(total + 0.5 * (distinct + 1)))
+    x = (F.col("n") - DISCOUNT) / ((F.col("c_v") - F.col("kept_v") + PRIOR) * chance)
+    return Model(model, rare, saved(rest.select("v", "w", x.alias("x")), "answers"))
+
+
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # HEAD words and ARCS arcs of each order at most
+    spark, automaton = docs.sparkSession, model.automaton
+    shared = spark.sparkContext.broadcast(automaton)  # HEAD words and ARCS arcs at most
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "key", "n", "n_tokens", "n_known", "base", "score"]
+    sums = ["n_tokens", "n_known", "base", "score"]
+    names = ["id", "v", "w", "n", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                size, known, base, score, doc, h, n = shared.value.score(c)
+                size, known, base, score, text, v, w, n = shared.value.score(c)
                 ids = batch.column(0).slice(c.lo, c.hi - c.lo)
                 k = len(ids)
-                none = lambda m, t=pa.int64(): pa.nulls(m, t)
-                yield pa.RecordBatch.from_arrays([ids, none(k), none(k), *map(pa.array, (size.astype(np.int64), known, base, score))], names)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(signed(h)), pa.array(n.astype(np.int64)), none(len(doc)), none(len(doc)), none(len(doc), pa.float64()), none(len(doc), pa.float64())], names)
-
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), f"id {kind}, key long, n long, n_tokens long, n_known long, base double, score double")
-    rows = saved(rows, "scored")
-    rare = rows.where("key is not null").select("id", "key", "n")
-    c = words.select("key", F.col("n").alias("c"))
-    joined = rare.join(c, "key", "left")
-    value = F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(float(model.log_total)))
-    tail = joined.groupBy("id").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.sum(value).alias("base"), F.sum(value).alias("score"))
-    whole = rows.where("key is null").select("id", "n_tokens", "n_known", "base", "score").unionByName(tail.withColumn("n_tokens", F.lit(0).cast("long")))
-    out = whole.groupBy("id").agg(*(F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base", "score")))
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+                # a text's own sums ask for nothing: their keys only spread them
+                spread = signed(mix(np.arange(c.lo, c.hi, dtype=np.uint64) + np.uint64(len(c.buf)) * np.uint64(1 << 20)))
+                own = pa.StructArray.from_arrays([pa.array(size.astype(np.int64)), *map(pa.array, (known, base, score))], sums)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(spread), pa.array(np.full(k, _TEXT)), pa.array(np.zeros(k, np.int64)), own], names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(v), pa.array(w), pa.array(n), pa.nulls(len(v), own.type)], names)
+
+    schema = f"id {kind}, v long, w long, n long, text struct<n_tokens: long, n_known: long, base: double, score: double>"
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema)
+    null = F.lit(None).cast("double")
+    answers = model.arcs.select("v", "w", "x", null.alias("kept")).unionByName(model.words.select(F.col("code").alias("v"), F.lit(_WORD).alias("w"), F.col("c").cast("double").alias("x"), "kept"))
+    joined = rows.join(answers, ["v", "w"], "left")
+    x = F.coalesce("x", F.lit(0.0))
+    word = F.col("w") == _WORD
+    base = F.log10(x + 0.5) - F.lit(automaton.log_total)
+    gain = F.when(word, base + _log_back(x, F.coalesce("kept", F.lit(0.0)))).when(F.col("w") == _TEXT, 0.0).otherwise(F.log10(1 + x))
+    asked = {"n_tokens": F.lit(0), "n_known": F.when(word & F.col("x").isNotNull(), F.col("n")).otherwise(0), "base": F.when(word, F.col("n") * base).otherwise(0.0), "score": F.col("n") * gain}
+    out = joined.groupBy("id").agg(*(F.sum(F.coalesce(F.col(f"text.{k}"), asked[k])).alias(k) for k in sums))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(automaton.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -277,6 +323,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     texts = docs.where(fold != 1).select("text")
-    words = word_counts(texts)
-    out = score_texts(docs, train(texts, words), words)
+    out = score_texts(docs, train(texts, word_counts(texts)))
     return out.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

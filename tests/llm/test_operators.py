@@ -329,67 +329,90 @@ def test_decontamination_finds_all_planted_passages(spark):
 # ---------------------------------------------------------------- 10 LM scoring
 
 
-def test_automaton_equals_a_plain_walk(spark):
+def lm_tokens(t):
+    raw = (t or "").encode()
+    return re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw)) + [None]
+
+
+class PlainLM:
+    """The model from its definition: dictionaries, one token after the other."""
+
+    def __init__(self, texts):
+        self.c = Counter(w for t in texts for w in lm_tokens(t))
+        self.total, self.distinct = sum(self.c.values()), len(self.c)
+        pairs = Counter(x for t in texts for x in zip(lm_tokens(t), lm_tokens(t)[1:], strict=False))
+        self.arcs = {k: n for k, n in pairs.items() if n >= lm.LEAST}
+        self.kept = Counter()
+        for (v, _), n in self.arcs.items():
+            self.kept[v] += n - lm.DISCOUNT
+
+    def uni(self, w):
+        return (self.c[w] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
+    def after(self, v, w):
+        back = lm.PRIOR + self.c[v] - self.kept[v]
+        n = self.arcs.get((v, w), lm.DISCOUNT)
+        return (n - lm.DISCOUNT + back * self.uni(w)) / (self.c[v] + lm.PRIOR)
+
+    def score(self, t):
+        ws = lm_tokens(t)
+        return math.log10(self.uni(ws[0])) + sum(math.log10(self.after(v, w)) for v, w in zip(ws, ws[1:], strict=False))
+
+
+@pytest.mark.parametrize(("head", "arcs"), [(1 << 17, 1 << 20), (50, 40), (0, 0)])
+def test_automaton_equals_a_plain_walk(spark, monkeypatch, head, arcs):
+    """The same whatever part of the words and arcs the tasks hold."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "ARCS", arcs)
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    texts = [r.text for r in d.orderBy("doc_id").limit(60).collect()]
-    frame = docs_of(spark, texts + [None, "", "THE the"], clash=False)
+    texts = [r.text for r in d.orderBy("doc_id").limit(60).collect()] + [None, "", "THE the", "never-seen words here", "the the the never-seen"]
+    frame = docs_of(spark, texts, clash=False)
     train = frame.where("doc_id < 40").select("text")
-    counts = lm.word_counts(train)
-    model = lm.train(train, counts)
-    assert len(model.arc2) and len(model.arc3)
-    low = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower() if (t or "").isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())) + [None]
-    c = Counter(w for t in texts[:40] for w in low(t))
-    n, v = sum(c.values()), len(c)
-    assert (model.total, model.distinct) == (n, v)
-    arcs2 = dict(zip(model.arc2.tolist(), model.p2, strict=True))
-    arcs3 = dict(zip(model.arc3.tolist(), model.p3, strict=True))
-    state2 = {k: i for i, k in enumerate(model.state2.tolist())}
-    number = lambda w: int(model.number(np.array([1 if w is None else common.hash_word(w)], np.uint64))[0])
-    out = rows_of(lm.score_texts(frame, model, counts))
-    for i, t in enumerate(texts[30:50] + [None, "", "THE the"], 30):
-        i = i if i < 50 else i + 10
-        state, history, total, base = (), [], 0.0, 0.0
-        for w in low(t):
-            k, uni = number(w), math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1)))
-            base += uni
-            while True:  # follow failure arcs until an arc fits
-                if len(state) == 2:
-                    at = state2.get(state[0] << 32 | state[1])
-                    if at is not None:
-                        if (at << 32 | k) in arcs3 and k >= 0:
-                            total += arcs3[at << 32 | k]
-                            break
-                        total += model.fail2[at]
-                    state = state[1:]
-                elif len(state) == 1:
-                    if k >= 0 and (state[0] << 32 | k) in arcs2:
-                        total += arcs2[state[0] << 32 | k]
-                        break
-                    total += model.fail1[state[0]]
-                    state = ()
-                else:
-                    total += uni
-                    break
-            history = (history + [k])[-2:]
-            state = tuple(history) if all(x >= 0 for x in history) else tuple(history[-1:]) if history[-1] >= 0 else ()
-        assert out[i].score == pytest.approx(total) and out[i].base_score == pytest.approx(base) and out[i].n_tokens == len(low(t)), i
-        assert out[i].n_known == sum(c[w] > 0 for w in low(t))
+    plain = PlainLM(texts[:40])
+    model = lm.train(train, lm.word_counts(train))
+    own = model.automaton
+    assert (own.total, own.distinct) == (plain.total, plain.distinct)
+    assert len(own.arcs) + model.arcs.count() == len(plain.arcs) and len(own.n) + model.words.count() == plain.distinct
+    assert (len(own.arcs) > 0) == (arcs > 0) and (model.arcs.count() > 0) == (head <= 50)
+    out = rows_of(lm.score_texts(frame, model))
+    for i, t in enumerate(texts):
+        ws = lm_tokens(t)
+        assert out[i].score == pytest.approx(plain.score(t)), i
+        assert out[i].base_score == pytest.approx(sum(math.log10(plain.uni(w)) for w in ws))
+        assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (len(ws), sum(plain.c[w] > 0 for w in ws), plain.total)
 
 
 def test_arcs_of_a_state_sum_to_one(spark):
-    frame = docs_of(spark, ["a b c a b d a b c", "a b", "b c a"], clash=False).select("text")
-    model = lm.train(frame, lm.word_counts(frame))
-    n = len(model.n)
-    for u in range(n):
-        p = 10 ** model._pair(np.full(n, u), np.arange(n))
-        assert p.sum() == pytest.approx((10**model.uni).sum(), abs=0.02)
+    texts = ["a b c a b d a b c", "a b", "b c a"]
+    plain = PlainLM(texts)
+    unseen = 0.5 / (plain.total + 0.5 * (plain.distinct + 1))
+    for v in [*plain.c, b"other"]:
+        if v is not None:
+            share = (lm.PRIOR + plain.c[v] - plain.kept[v]) / (plain.c[v] + lm.PRIOR)
+            assert sum(plain.after(v, w) for w in plain.c) + share * unseen == pytest.approx(1)
+    frame = docs_of(spark, texts, clash=False).select("text")
+    model = lm.train(frame, lm.word_counts(frame)).automaton
+    codes = {w: int(model.codes(np.array([1 if w is None else common.hash_word(w)], np.uint64))[0]) for w in plain.c}
+    for v, w in ((v, w) for v in plain.c if v is not None for w in plain.c):
+        steps, ask = model.steps(np.array([codes[v], codes[w]]), np.array([0, 2]))
+        assert steps[1] == pytest.approx(math.log10(plain.after(v, w))) and ask[1] == ((v, w) not in plain.arcs)
+
+
+def test_lm_rows_and_ids_that_repeat(spark):
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "a b", "en", "s", 3), (2, "x " * 50_000, None, None, 0)]
+    frame = spark.createDataFrame(rows, DOC).withColumns({k: F.lit("x") for k in (*CLASH, "v", "w", "n", "text_", "code", "c", "kept")})
+    train = frame.select("text")
+    plain = PlainLM([r[1] for r in rows])
+    out = rows_of(lm.score_texts(frame, lm.train(train, lm.word_counts(train))))
+    assert out[1].n_tokens == 8 and out[1].score == pytest.approx(2 * plain.score("a b c"))
+    assert out[None].score == pytest.approx(plain.score("a b")) and out[2].score == pytest.approx(plain.score("x " * 50_000))
 
 
 def test_lm_without_training_text(spark):
     frame = docs_of(spark, ["a b", None])
     none = frame.where("doc_id > 9").select("text")
     counts = lm.word_counts(none)
-    got = rows_of(lm.score_texts(frame, lm.train(none, counts), counts))
+    got = rows_of(lm.score_texts(frame, lm.train(none, counts)))
     assert got[0].n_tokens == 3 and got[0].n_known == 0 and got[0].train_tokens == 0 and got[0].score == pytest.approx(0) and got[1].n_tokens == 1
 
 
