@@ -325,5 +325,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     texts = docs.where(fold != 1).select("text")
-    out = score_texts(docs, train(texts, word_counts(texts)))
+    model = train(texts, word_counts(texts))
+    _release(spark)
+    out = score_texts(docs, model)
     return out.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
