@@ -139,36 +139,58 @@ def _log_back(c, kept):
     return log10((c - kept + PRIOR) / (c + PRIOR))
 
 
+class Slots:
+    """Places of 64-bit keys: a table by bits of their product, and sorted keys whose slot another one took."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length() + 1))
+        slot, every = self._slot(keys), np.arange(len(keys), dtype=np.int32)
+        self.place = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.place[slot] = every
+        rest = np.flatnonzero(self.place[slot] != every)
+        self.rest = rest[np.argsort(keys[rest])]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out = self.place[self._slot(keys)].astype(np.int64)
+        taken = np.flatnonzero(out >= 0)
+        other = taken[self.keys[out[taken]] != keys[taken]]  # a key outside the table leaves its slot to others
+        at = lookup(self.keys[self.rest], keys[other])
+        out[other] = np.where(at >= 0, self.rest[at], -1) if len(self.rest) else -1
+        return out
+
+
 class Automaton:
     """Head words with their failure weights, and the commonest arcs with what each adds to failing."""
 
     def __init__(self, head: np.ndarray, head_n: np.ndarray, total: int, distinct: int):
         """head: hashes by falling count; an id is a place in it."""
-        order = np.argsort(head)
-        self.keys, self.ids = head[order], order.astype(np.int64)
+        self.words = Slots(head)
         self.n = head_n.astype(np.float64)
         self.total, self.distinct = total, distinct
         self.log_total = float(np.log10(total + 0.5 * (distinct + 1)))
         self.uni = np.log10(self.n + 0.5) - self.log_total
         self.kept = np.zeros(len(head))  # of each head word's count, what its arcs hold
         self.fail = np.zeros(len(head))
-        self.arcs, self.gain = np.zeros(0, np.int64), np.zeros(0)
+        self.arcs, self.gain = Slots(np.zeros(0, np.int64)), np.zeros(0)
 
     def add_states(self, ids: np.ndarray, kept: np.ndarray) -> None:
         self.kept[ids] = kept
         self.fail = _log_back(self.n, self.kept)
 
     def add_arcs(self, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
-        arcs = v << 32 | w
-        order = np.argsort(arcs)
-        v, w = v[order], w[order]
-        self.arcs = arcs[order]
-        self.gain = np.log10(1 + (n[order] - DISCOUNT) / ((self.n[v] - self.kept[v] + PRIOR) * 10 ** self.uni[w]))
+        self.arcs = Slots(v << 32 | w)
+        self.gain = np.log10(1 + (n - DISCOUNT) / ((self.n[v] - self.kept[v] + PRIOR) * 10 ** self.uni[w]))
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Codes of token hashes: places in the head, negative for other words."""
-        at = lookup(self.keys, h)
-        return np.where(at >= 0, self.ids[at] if len(self.ids) else -1, signed(h | _RARE))
+        at = self.words.find(h)
+        return np.where(at >= 0, at, signed(h | _RARE))
 
     def steps(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what each token adds, whether its arc has to be asked for); rare words add nothing here."""
@@ -182,7 +204,7 @@ class Automaton:
         state = np.flatnonzero(v >= 0)
         out[state] += self.fail[v[state]]
         both = state[codes[state] >= 0]
-        at = lookup(self.arcs, v[both] << 32 | codes[both])
+        at = self.arcs.find(v[both] << 32 | codes[both])
         both, at = both[at >= 0], at[at >= 0]
         out[both] += self.gain[at]
         ask[both] = False

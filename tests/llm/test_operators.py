@@ -359,6 +359,16 @@ class PlainLM:
         return math.log10(self.uni(ws[0])) + sum(math.log10(self.after(v, w)) for v, w in zip(ws, ws[1:], strict=False))
 
 
+def test_slots_find_every_key_and_no_other():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 50, 5000):
+        keys = np.unique(r.integers(-(1 << 63), 1 << 62, n))
+        r.shuffle(keys)
+        slots = lm.Slots(keys)
+        assert slots.find(keys).tolist() == list(range(len(keys)))
+        assert (slots.find(np.setdiff1d(keys + 1, keys)) == -1).all()
+
+
 @pytest.mark.parametrize(("head", "arcs"), [(1 << 17, 1 << 20), (50, 40), (0, 0)])
 def test_automaton_equals_a_plain_walk(spark, monkeypatch, head, arcs):
     """The same whatever part of the words and arcs the tasks hold."""
@@ -372,8 +382,8 @@ def test_automaton_equals_a_plain_walk(spark, monkeypatch, head, arcs):
     model = lm.train(train, lm.word_counts(train))
     own = model.automaton
     assert (own.total, own.distinct) == (plain.total, plain.distinct)
-    assert len(own.arcs) + model.arcs.count() == len(plain.arcs) and len(own.n) + model.words.count() == plain.distinct
-    assert (len(own.arcs) > 0) == (arcs > 0) and (model.arcs.count() > 0) == (head <= 50)
+    assert len(own.arcs.keys) + model.arcs.count() == len(plain.arcs) and len(own.n) + model.words.count() == plain.distinct
+    assert (len(own.arcs.keys) > 0) == (arcs > 0) and (model.arcs.count() > 0) == (head <= 50)
     out = rows_of(lm.score_texts(frame, model))
     for i, t in enumerate(texts):
         ws = lm_tokens(t)
