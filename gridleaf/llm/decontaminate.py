@@ -9,6 +9,8 @@ its items: other words cannot change a product with an item.
    space; its basis is a singular value decomposition on the driver (benchmark-sized).
 2. Candidate search. Word tables of latent weights turn every passage into its products with
    all items by block sums; passages with enough of an item and cosine COSINE or more are candidates.
+   An item longer than a passage is searched whole and in parts of a passage's length at most,
+   each with its own weight and cosine: a passage with enough of any part is a candidate.
 3. Checks. The longest common subsequence of item and passage, and the answer (the distinct
    words of the item's last sentence, or its last quarter), decide: a text contains an item if
    lcs_ratio >= EXACT, or lcs_ratio >= PARAPHRASE and answer_ratio >= ANSWER.
@@ -88,6 +90,12 @@ class Benchmark:
             at = lookup(words, np.unique(h))
             keep[at[np.argsort(df[at], kind="stable")[:5]]] = True
         self.words = words[keep]
+        # what is searched: all items, then the parts of those longer than a passage; of_item is the item of each
+        self.parts, self.of_item = list(self.items), list(range(len(self.items)))
+        for i, h in enumerate(self.items):
+            if len(h) > 2 * BLOCK:
+                self.parts += np.array_split(h, -(-len(h) // (2 * BLOCK)))
+                self.of_item += [i] * (len(self.parts) - len(self.of_item))
         self.random = np.random.default_rng(3).normal(size=(len(self.words), SKETCH)).astype(np.float32)
 
     def tf(self, h: np.ndarray) -> np.ndarray:
@@ -97,17 +105,17 @@ class Benchmark:
     def fit(self, passages: int, df: np.ndarray, sketch: np.ndarray) -> None:
         """df and sketch by feature, from all passages."""
         idf = np.log((2.0 + passages) / (1.0 + df))
-        items = np.array([self.tf(h) * idf for h in self.items]).reshape(len(self.items), len(self.words))
+        items = np.array([self.tf(h) * idf for h in self.parts]).reshape(len(self.parts), len(self.words))
         range_ = idf[:, None] * sketch
         range_ = range_ / np.maximum(np.linalg.norm(range_, axis=0), 1e-12)
         unit = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
         # items first: their span is what the search must keep; then the corpus's strongest directions
         _, s, vt = np.linalg.svd(np.vstack([unit, range_.T]), full_matrices=False)
-        vt = vt[: min(RANK, int((s > 1e-9).sum()))]
+        vt = vt[: min(RANK + len(self.parts) - len(self.items), int((s > 1e-9).sum()))]  # parts take no item's rank
         latent = (items @ vt.T).astype(np.float32)
         self.basis = (idf[:, None] * vt.T).astype(np.float32)  # latent vector that a word adds
         self.norm = np.linalg.norm(latent, axis=1)
-        self.table = self.basis @ latent.T / np.maximum(self.norm**2, 1e-12)  # share of each item that a word adds
+        self.table = self.basis @ latent.T / np.maximum(self.norm**2, 1e-12)  # share of each item or part that a word adds
 
 
 def _blocks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,22 +190,24 @@ def _search(bench: Benchmark, h: np.ndarray, first: np.ndarray) -> list[tuple[in
     both = share.copy()
     both[nxt] += share[nxt + 1]
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p, item in zip(*np.nonzero(both >= CONTAINED), strict=True):
-        i = int(some[p])
+    checked: dict[tuple[int, int], tuple[float, float]] = {}  # by first word of the passage and item
+    for p, part in zip(*np.nonzero(both >= CONTAINED), strict=True):
+        i, item = int(some[p]), bench.of_item[part]
         text = int(text_of[i])
         lo = int(np.searchsorted(block, i))
         hi = min(lo + 2 * BLOCK, int(first[text + 1]))
         mine = at[lo:hi]
         vector = bench.basis[mine[mine >= 0]].sum(0)
-        cosine = float(both[p, item] * bench.norm[item] / max(np.linalg.norm(vector), 1e-12))
+        cosine = float(both[p, part] * bench.norm[part] / max(np.linalg.norm(vector), 1e-12))
         if cosine < COSINE:
             continue
-        words = bench.items[item]
-        grow = len(words)
-        near = h[max(int(first[text]), lo - grow) : min(hi + grow, int(first[text + 1]))]
-        ratio = lcs(words, near) / len(words)
-        answer = float(np.isin(bench.answers[item], near).mean())
-        key = (text, int(item))
+        if (lo, item) not in checked:
+            words = bench.items[item]
+            grow = len(words)
+            near = h[max(int(first[text]), lo - grow) : min(hi + grow, int(first[text + 1]))]
+            checked[lo, item] = lcs(words, near) / len(words), float(np.isin(bench.answers[item], near).mean())
+        ratio, answer = checked[lo, item]
+        key = (text, item)
         found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (ratio, answer, cosine))
     return [(t, i, cosine, ratio, answer) for (t, i), (ratio, answer, cosine) in found.items()]
 

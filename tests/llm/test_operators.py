@@ -306,6 +306,18 @@ def test_decontamination_cases(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_longer_than_a_passage(spark):
+    r = random.Random(5)
+    items = [words(r, n, 3000) + ". " + words(r, 6, 3000) for n in (100, 130, 200, 300, 1000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    # verbatim at different places of the blocks; and every third word replaced
+    texts = [words(r, k) + " " + items[i] + " " + words(r, 90) for i in range(5) for k in (0, 13, 100)]
+    texts += [words(r, 31) + " " + " ".join("other" if k % 3 == 0 and k < len(x.split()) - 6 else w for k, w in enumerate(x.split())) for x in items]
+    texts += [" ".join(x.split()[: len(x.split()) // 3]) for x in items] + [words(r, 400, 3000)]  # a third is not contained
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(k, k // 3) for k in range(15)} | {(15 + i, i) for i in range(5)}
+
+
 def test_lcs_equals_dynamic_programming():
     r = np.random.default_rng(1)
     for _ in range(50):
