@@ -129,8 +129,10 @@ def answers(boxes: DataFrame, width: int, height: int, top_percent: float = 10,
     return wide_answers(row_order(without_overlaps(kept), seq="seq"))
 
 
-def wide_boxes(ordered: DataFrame, n: int) -> DataFrame:
-    """One row a page with the columns box1 to boxn."""
+def wide_boxes(ordered: DataFrame, n: int = 0) -> DataFrame:
+    """One row a page with the columns box1 to boxn, and further ones up to the most boxes of a page."""
+    most = ordered.agg(F.max("position")).first()[0]
+    n = max(n, most or 0)
     return ordered.groupBy("page_id").agg(*(F.max(F.when(F.col("position") == i, F.col("is_filled"))).alias(f"box{i}") for i in range(1, n + 1)))
 
 

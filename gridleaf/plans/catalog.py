@@ -161,6 +161,7 @@ def wide_answers(spark, d):
 
 @query("wide_boxes", BOXES_SQL, rows_sql("boxes", "box_id"), "select page_id, " + ", ".join(f"bool_or(is_filled) filter (where position = {i}) as box{i}" for i in range(1, 51)) + " from placed group by page_id")
 def wide_boxes(spark, d):
+    """At least the SQL's 50 columns, and one for each further position in the data (sf0.1 has 53)."""
     return bx.wide_boxes(bx.row_order(fx.plain_boxes(spark, d)), 50)
 
 

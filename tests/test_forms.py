@@ -89,6 +89,14 @@ def test_answers_have_all_names_and_drop_the_rest(spark):
     assert answer_columns()[:4] == ["1_yes", "1_no", "1b_1", "1b_2"] and answer_columns()[-1] == "7_5"
 
 
+def test_wide_boxes_have_a_column_for_every_box(spark):
+    b = make(spark, [(1, i, 40 * i, 10, 20, 20, 0.2) for i in range(53)] + [(2, 0, 10, 10, 20, 20, 0.0)])
+    got = {r.page_id: r.asDict() for r in bx.wide_boxes(bx.row_order(b), 50).collect()}
+    assert list(got[1]) == ["page_id", *(f"box{i}" for i in range(1, 54))] and all(got[1][f"box{i}"] for i in range(1, 54))
+    assert got[2]["box1"] is False and got[2]["box53"] is None
+    assert len(bx.wide_boxes(bx.row_order(b.where("page_id = 2")), 50).columns) == 51
+
+
 def test_exclusion_by_list_and_by_table(spark):
     b = make(spark, [(1, 0, 10, 209, 20, 22, 0.0), (1, 1, 10, 211, 20, 22, 0.0), (1, 2, 10, 2080, 20, 20, 0.0), (2, 0, 10, 0, 20, 20, 0.0)])
     kept, out = bx.split_excluded(b, bx.exclusion_bounds(1700, 2200))
