@@ -9,8 +9,10 @@ subtrees, and elements that their tag, role or class marks as no article (menus,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), and reads
 what is left of the article in page order.
 
-Text inside an ``article`` (or ``main``) is protected from template deletion unless a
-subtree is mostly links: copies of one article on a site are content, not template.
+Inside an ``article`` (or ``main``) a subtree must recur on INSIDE_SHARE of the host's pages
+and in TEMPLATE_PAGES different articles, unless it is mostly links: copies of one article
+on a site and a passage that some articles share are content, not template. Articles differ if one of the AROUND longest texts outside the subtree does.
+Headings, list items and table cells inside an article go only with what holds them.
 
 Blocks: white space (as of str.split) becomes one space, blocks join by one space,
 character references are decoded; nothing else is dropped or capped.
@@ -35,6 +37,8 @@ from .common import BROADCAST_ROWS, maybe_broadcast, released, saved, small_batc
 
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.3
+INSIDE_SHARE = 0.5
+AROUND = 3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -45,6 +49,10 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link nobr output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOT_TEXT = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video map menu dialog datalist title".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody table dl figcaption article main body html".split())
+#: Parts of an article that recur by themselves without being template.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody figcaption".split())
+#: Templates inside articles are other keys than those outside.
+_INSIDE = 0x2545F4914F6CDD1D
 #: Words of a class, id or role that mark an element as no article.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -207,16 +215,48 @@ def _deletable(node: Node, protected: bool) -> bool:
     return not protected or node.tag not in TEXT_BLOCKS and node.links * 2 > node.size
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of a page's subtrees with text that template deletion could remove."""
+def _surroundings(article: Node) -> Iterator[tuple[int, int]]:
+    """(key, hash of the AROUND longest texts outside it) of an article's subtrees that could be template; texts end at tags."""
+    texts: list[str] = []
+    spans: list[tuple[Node, int, int]] = []
+    stack: list[tuple[Node | str, int]] = [(article, -1)]
+    while stack:
+        n, start = stack.pop()
+        if isinstance(n, str):
+            if words := n.split():
+                texts.append(" ".join(words))
+        elif start >= 0:
+            if len(texts) > start:
+                spans.append((n, start, len(texts)))
+        elif n is article or not is_marked(n, True) and n.tag != "article":
+            if n is not article and n.tag not in INLINE and n.tag not in PARTS and n.tag not in ("main", "body"):
+                stack.append((n, len(texts)))
+            stack += [(c, -1) for c in reversed(n.children)]
+    longest = lambda few: sorted(few, key=lambda t: (-len(t), t))[:AROUND]
+    before: list[list[str]] = [[]]
+    for t in texts:
+        before.append(longest([*before[-1], t]))
+    after: list[list[str]] = [[]]
+    for t in reversed(texts):
+        after.append(longest([*after[-1], t]))
+    for n, a, b in spans:
+        if around := longest(before[a] + after[len(texts) - b]):
+            yield n.hash ^ _INSIDE, xxhash.xxh3_64_intdigest("\x1f".join(around).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def candidates(root: Node) -> set[tuple[int, int | None]]:
+    """Keys of a page's subtrees with text that template deletion could remove, and for those inside an article what is around."""
     roots = article_roots(root)
     safe = {id(n) for n in roots if n is not root}
-    out, stack = set(), [(root, False)]
+    out: set[tuple[int, int | None]] = set()
+    inner = dict(pair for n in roots if n is not root for pair in _surroundings(n))  # a key counts once a page
+    out.update(inner.items())
+    stack = [(root, False)]
     while stack:
         n, inside = stack.pop()
         inside = inside or id(n) in safe
         if n.size and n.tag not in INLINE and n.tag not in NOT_TEXT and _deletable(n, inside):
-            out.add(n.hash)
+            out.add((n.hash, None))
         if n.tag not in NOT_TEXT:
             stack += [(c, inside) for c in n.children if isinstance(c, Node)]
     return out
@@ -239,6 +279,8 @@ def main_text(root: Node, templates: set[int] | frozenset[int] = frozenset()) ->
                     continue
                 if n.hash in templates and _deletable(n, inside):
                     continue
+                if inside and n.tag not in PARTS and n.hash ^ _INSIDE in templates:
+                    continue
             if n.tag not in INLINE:
                 out.append(" ")
                 stack.append(" ")
@@ -258,18 +300,22 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, arounds = [], [], []
             for source, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(source or "")
                 digest(root)
                 got = candidates(root)
                 hosts += [host] * len(got)
-                hashes += got
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                hashes += [h for h, _ in got]
+                arounds += [a for _, a in got]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(arounds, pa.int64())], ["host", "hash", "around"])
 
     total = pages.groupBy("host").count().withColumnRenamed("count", "pages").where(F.col("pages") >= TEMPLATE_PAGES)
-    found = pages.select("html", "host").mapInArrow(released(run), "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-    found = found.join(total, "host").where(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
+    found = pages.select("html", "host").mapInArrow(released(run), "host string, hash long, around long").groupBy("host", "hash", "around").agg(F.count("*").alias("n"))
+    found = found.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("around").alias("articles")).where(F.col("n") >= TEMPLATE_PAGES)
+    inside = F.col("articles") > 0
+    found = found.where(~inside | (F.col("articles") >= TEMPLATE_PAGES))
+    found = found.join(total, "host").where(F.col("n") >= F.col("pages") * F.when(inside, INSIDE_SHARE).otherwise(TEMPLATE_SHARE))
     return found.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 

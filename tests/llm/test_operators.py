@@ -471,6 +471,19 @@ def test_site_templates(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_templates_inside_articles(spark):
+    """Boilerplate of many articles goes; copies of an article, with another date, and headings stay."""
+    box = "<div class='x'><p>Written by the staff of our site.</p><p>Follow us.</p></div>"
+    page = lambda i, tag: f"<body><{tag}><h2>Summary</h2><p>story {i} of <b>many</b> words</p><p>more of {i}</p><p>All rights reserved.</p>{box}</{tag}></body>"
+    pages = [(i, "http://a.example/", page(i, "article")) for i in range(8)] + [(20 + i, "http://m.example/", page(i, "main")) for i in range(8)]
+    pages += [(40 + i, "http://copies.example/", f"<article><p>day {i}</p><p>one text in copies</p><p>its second paragraph</p><p>and its third paragraph</p><p>the end</p></article>") for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == got[20 + i] == f"Summary story {i} of many words more of {i}"
+    for i in range(9):
+        assert got[40 + i] == f"day {i} one text in copies its second paragraph and its third paragraph the end"
+
+
 def test_generated_pages_give_their_article(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.QUERIES["op3_html_text"](spark, SF).collect():
