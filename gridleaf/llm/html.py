@@ -60,6 +60,10 @@ MARKED = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox toolbar complementary contentinfo skip hidden".split()
 )
 _CONTENT_WORDS = frozenset("article post entry content story title".split())
+#: Class words after which the rest of the class says what a page has or is about, not what the element is.
+_MODIFIER = re.compile(r"(?<![a-z0-9])(?:has|with|without|no|tag|category)[-_]\S*", re.I)
+#: Words of elements whose articles are never the page's own.
+_OTHERS = frozenset("comment comments comentarios commentaires kommentare disqus discussion reply replies related recommended recommendations".split())
 _HEADERS = frozenset(("header", "masthead", "banner"))
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -69,12 +73,13 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "links", "parent", "size", "tag")
+    __slots__ = ("attrs", "children", "hash", "holds", "links", "parent", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
         self.hash = self.size = self.links = 0
+        self.holds = False
 
 
 def parse(source: str) -> Node:
@@ -168,6 +173,11 @@ def digest(node: Node) -> None:
         n.hash = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _hidden(node: Node) -> bool:
+    attrs = attributes(node)
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
 def is_marked(node: Node, inside: bool) -> bool:
     """True for elements that are no part of an article by tag, role, class or id; inside: within the article."""
     tag = node.tag
@@ -176,23 +186,53 @@ def is_marked(node: Node, inside: bool) -> bool:
     if not node.attrs or tag in ("html", "body", "main"):
         return False
     attrs = attributes(node)
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+    if _hidden(node):
         return True
-    words = set(re.split(r"[^a-z0-9]+", f"{re.sub(r'([a-z])([A-Z])', r'\1 \2', attrs.get('class', '') + ' ' + attrs.get('id', ''))} {attrs.get('role', '')}".lower()))
+    named = _MODIFIER.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", attrs.get("class", "") + " " + attrs.get("id", "")))
+    words = set(re.split(r"[^a-z0-9]+", f"{named} {attrs.get('role', '')}".lower()))
     hit = words & MARKED
+    if node.holds and not inside and not words & _OTHERS:
+        return False
     if hit and hit <= _HEADERS and words & _CONTENT_WORDS:
         return False
     return bool(hit)
 
 
+def _mark_holders(root: Node) -> None:
+    """Sets holds of elements that are or hold an article or main and most of the page's text: no class marks them, unless it names comments or other articles."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if isinstance(c, Node) and c.tag not in NOT_TEXT]
+    if not any(n.tag in ("article", "main") for n in order):
+        return
+    sums: dict[int, tuple[int, bool]] = {}
+    for n in reversed(order):
+        size, has = 0, n.tag in ("article", "main")
+        for c in n.children:
+            if isinstance(c, str):
+                size += len("".join(c.split()))
+            elif id(c) in sums:
+                size, has = size + sums[id(c)][0], has or sums[id(c)][1]
+        sums[id(n)] = size, has
+    for n in order:
+        size, has = sums[id(n)]
+        n.holds = has and size * 2 > sums[id(root)][0]
+
+
 def article_roots(root: Node) -> list[Node]:
-    """The outermost unmarked articles; else mains; else the whole page."""
+    """The outermost unmarked articles; else mains; else articles that only their class marks; else the whole page."""
+    _mark_holders(root)
     found: dict[str, list[Node]] = {"article": [], "main": []}
+    only_named: list[Node] = []
     stack = [root]
     while stack:
         n = stack.pop()
         kind = "main" if n.tag == "main" or 'role="main"' in n.attrs else n.tag
         if n is not root and is_marked(n, False):
+            if n.tag == "article" and not _hidden(n):
+                only_named.append(n)
             continue
         if kind in found:
             found[kind].append(n)
@@ -200,7 +240,7 @@ def article_roots(root: Node) -> list[Node]:
                 continue
         stack += [c for c in reversed(n.children) if isinstance(c, Node)]
     mains = [n for n in found["main"] if not any(p in found["main"] for p in _above(n))]
-    return found["article"] or mains or [root]
+    return found["article"] or mains or only_named or [root]
 
 
 def _above(node: Node) -> Iterator[Node]:

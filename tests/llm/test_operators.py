@@ -459,6 +459,19 @@ def test_html_rules():
     assert text_of("<article><p>" + "long " * 100_000 + "</p></article>") == ("long " * 100_000).strip()
 
 
+def test_classes_of_the_page_do_not_mark_its_article():
+    for name in ("layout has-sidebar", "content-with-sidebar", "site-header-fixed", "hasSidebar", "with_comments x", "sidebar"):
+        assert text_of(f'<body><div class="{name}"><article><p>text of the page</p></article><div class="sidebar">no</div></div></body>') == "text of the page", name
+        assert text_of(f'<body><div class="{name}"><main><p>text of the page</p><div class="related"><article>no</article></div></main></div></body>') == "text of the page", name
+    for name in ("post tag-search", "category-social", "no-comments", "promo"):
+        assert text_of(f'<body><article class="{name}"><p>text</p></article><div>and much more around it than in it</div></body>') == "text", name
+    page = '<body><div class="related-posts"><article>no</article></div><article><p>the text</p></article><article class="promo">no</article></body>'
+    assert text_of(page) == "the text"
+    comments = f'<section id="comments"><h2>no</h2><article>{"no " * 90}</article></section>'
+    assert text_of(f"<body><article><p>text</p>{comments}</article>{comments}</body>") == "text"
+    assert text_of("<body><article hidden>no</article><p>text</p></body>") == "text"
+
+
 def test_site_templates(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div class='box'>Follow the site</div><div><p>text {i}</p></div></body>") for i in range(8)]
     pages += [(20 + i, "http://few.example/", "<body><div>same</div></body>") for i in range(3)]
