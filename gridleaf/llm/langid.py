@@ -10,7 +10,10 @@ language has seen. A text's language is the one with the shortest code.
 
 Texts are lower-cased in ASCII; runs of bytes other than letters and bytes over 127 count
 as one space. Training takes at most TRAIN_DOCS texts a language (least hash first, of at
-most TRAIN_BYTES bytes), whole texts; languages are at most MAX_LANGS, the commonest.
+most TRAIN_BYTES bytes), whole texts. Every labelled language is learned; each BLOCK of them,
+those of like alphabets together, has tables of its own over the bytes it has seen, so tables
+grow with the languages. Bytes that a block has never seen have one symbol there, which is
+exact: all of them cost the escapes and the uniform code of one byte in SYMBOLS.
 
 Defined cases: null text, empty text or text without a letter is ``und`` with score 0;
 rows with a null language are not learned from; without training rows all is ``und``.
@@ -31,8 +34,8 @@ from .common import chunks, least_hashed, lookup, released, small_batches, table
 ORDER = 3
 TRAIN_DOCS = 600
 TRAIN_BYTES = 50_000
-MAX_LANGS = 64
-SYMBOLS = 64  # the commonest bytes of the training texts; the rest share the last symbol
+BLOCK = 8
+SYMBOLS = 256
 UND = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -63,17 +66,26 @@ class Model:
         """texts: the folded training texts of each language."""
         self.langs = langs
         joined = [b"".join(t) for t in texts]
+        self.blocks: list[tuple[list[int], Model]] = []  # (places of its languages, model)
+        if len(langs) > BLOCK:
+            counts = [np.bincount(np.frombuffer(data, np.uint8), minlength=256) for data in joined]
+            order = sorted(range(len(langs)), key=lambda k: (int(counts[k][128:].argmax()), int((counts[k] > 0).sum()), k))
+            for at in range(0, len(order), BLOCK):
+                own = order[at : at + BLOCK]
+                self.blocks.append((own, Model([langs[k] for k in own], [[joined[k]] for k in own])))
+            return
         seen = np.bincount(np.frombuffer(b"".join(joined), np.uint8), minlength=256) if langs else np.zeros(256)
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint8)
-        top = [int(b) for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 1] if seen[b]]
+        top = np.flatnonzero(seen)
+        self.size = s = len(top) + 1
+        self.symbol = np.full(256, len(top), np.int64)
         self.symbol[top] = np.arange(len(top))
         self.space = int(self.symbol[32])
-        s, n = SYMBOLS, len(langs)
-        base = np.full((1, s, n), np.log2(s), np.float32)  # order -1: uniform
+        n = len(langs)
+        base = np.full((1, s, n), np.log2(SYMBOLS), np.float32)  # order -1: uniform
         low = np.zeros((s**2, s, n), np.float32)
         grams, costs3, esc3 = [], [], np.zeros((s**3, n), np.float32)
         for k, data in enumerate(joined):
-            sym = self.symbol[np.frombuffer(data, np.uint8)].astype(np.int64)
+            sym = self.symbol[np.frombuffer(data, np.uint8)]
             cost = base[:, :, k].astype(np.float64)  # [contexts, symbols]
             for order in range(ORDER):
                 ctx = self._context(sym, order)
@@ -103,12 +115,11 @@ class Model:
     def _slot(key: np.ndarray) -> np.ndarray:
         return (key * 0x9E3779B1 >> 7) & ((1 << 22) - 1)
 
-    @staticmethod
-    def _context(sym: np.ndarray, order: int) -> np.ndarray:
+    def _context(self, sym: np.ndarray, order: int) -> np.ndarray:
         """Index of the order symbols before each position (0 where the text is too short)."""
         ctx = np.zeros(len(sym), np.int64)
         for j in range(order, 0, -1):
-            ctx[order:] = ctx[order:] * SYMBOLS + sym[order - j : len(sym) - j]
+            ctx[order:] = ctx[order:] * self.size + sym[order - j : len(sym) - j]
         return ctx
 
     @staticmethod
@@ -122,12 +133,16 @@ class Model:
 
     def code_lengths(self, folded: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """[texts, languages] bits of each whole text; contexts never reach into the text before."""
-        s = SYMBOLS
-        sym = self.symbol[folded].astype(np.int64)
-        n = len(sym)
+        n = len(folded)
         out = np.zeros((len(offs) - 1, len(self.langs)))
         if not n or not self.langs:
             return out
+        if self.blocks:
+            for own, model in self.blocks:
+                out[:, own] = model.code_lengths(folded, offs)
+            return out
+        s = self.size
+        sym = self.symbol[folded]
         prev = []
         for j in (3, 2, 1):
             p = np.full(n, self.space, np.int64)
@@ -176,10 +191,10 @@ def _letters(chunk) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "order") -> Model:
-    """The model of at most MAX_LANGS languages, each of at most TRAIN_DOCS texts."""
+    """The model of all languages, each of at most TRAIN_DOCS texts."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(order_col).alias("order"), F.col(text_col).alias("text"))
     rows = rows.where(F.octet_length("text") <= TRAIN_BYTES)
-    langs = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    langs = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     texts: dict[str, list[bytes]] = {k: [] for k in sorted(langs)}
     for lang in texts:
         own = least_hashed(rows.where(F.col("lang") == lang), "order", TRAIN_DOCS, langs[lang]).orderBy("order", "text").limit(TRAIN_DOCS)

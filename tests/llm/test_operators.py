@@ -289,6 +289,31 @@ def test_language_id_cases_and_accuracy(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_every_language_and_byte_is_learned(spark):
+    """More than 64 languages, of several scripts; blocks give what one language by itself gives."""
+    scripts = ["".join(map(chr, range(a, a + n))) for a, n in ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 36), (0x905, 50), (0xE01, 46), (0x3041, 80))]
+    langs = {}
+    for k in range(72):
+        r = random.Random(k)
+        own = ["".join(r.choice(scripts[k % 8]) for _ in range(r.randint(2, 6))) for _ in range(30)]
+        langs[f"l{k:02}"] = [" ".join(r.choice(own) for _ in range(60)) for _ in range(4)]
+    rows = [(t, k, i) for k, ts in langs.items() for i, t in enumerate(ts[:3])]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string, order long").repartition(2).cache())
+    assert model.langs == list(langs)
+    (c,) = common.chunks(pa.array([ts[3] for ts in langs.values()]))
+    assert model.predict(c)[0] == list(langs)
+    folded, offs = langid._folded(c)
+    whole = model.code_lengths(folded, offs)
+    for own, part in model.blocks:
+        for j, k in enumerate(own):
+            (d,) = common.chunks(pa.array(list(langs.values())[k][:3]))
+            f, o = langid._folded(d)
+            single = langid.Model(["x"], [[f[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)]])
+            assert part.langs[j] == model.langs[k]
+            if k % 9 == 0:
+                assert single.code_lengths(folded, offs)[k, 0] == pytest.approx(whole[k, k], rel=1e-5)
+
+
 # ---------------------------------------------------------------- 8 decontamination
 
 
