@@ -47,6 +47,59 @@ def issue_texts(flagged: DataFrame) -> DataFrame:
     return flagged.select("page_id", "box_id", F.explode(F.array_compact(parts)).alias("issue"))
 
 
+def _fixed(value: str, digits: int):
+    """As '%.nf' on the exact binary value; Java's formats round its shortest decimal form."""
+    return F.udf(lambda v: None if v is None else f"{v:.{digits}f}", "string")(F.col(value).cast("double"))
+
+
+def all_issues(stats: DataFrame, flagged: DataFrame, analysed: DataFrame, regions: DataFrame, matches: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """(page_id, issue) of all five components; pages are those of any table.
+
+    stats as of image(), flagged as of detection_issues(), the others as of fill(), text() and
+    correlations(). A page without rows of a component has that component's one issue; for a
+    page without an image there is none to say.
+    """
+    def said(df: DataFrame, component: str, *rules: tuple) -> DataFrame:
+        parts = F.array(*(F.when(rule, F.concat(F.lit(f"[{component}] "), *(F.lit(x) if isinstance(x, str) else x for x in words))) for rule, *words in rules))
+        return df.select("page_id", F.explode(F.array_compact(parts)).alias("issue"))
+
+    c, b = F.col, F.col("box_id").cast("string")
+    matched = c("text_id").isNotNull()
+    found = [
+        said(
+            stats, "image",
+            ((c("width") < 1000) | (c("height") < 1000), "Low resolution: ", c("width").cast("string"), "x", c("height").cast("string"), " (recommend >1000x1000)"),
+            (c("contrast") < 20, "Low contrast: ", _fixed("contrast", 1), " (recommend >20)"),
+            ((c("brightness") < 50) | (c("brightness") > 200), "Poor brightness: ", _fixed("brightness", 1), " (recommend 50-200)"),
+            (c("blur_score") < 100, "Image appears blurry: ", _fixed("blur_score", 1), " (recommend >100)"),
+        ),
+        issue_texts(flagged).select("page_id", "issue"),
+        said(
+            analysed, "fill_analysis",
+            (c("confidence").isNull(), "Checkbox ", b, " missing fill analysis"),
+            (c("confidence") < t.min_fill_confidence, "Checkbox ", b, " has low fill confidence: ", _fixed("confidence", 3)),
+        ),
+        said(regions, "text_extraction", (c("confidence") < t.min_text_confidence, "Low confidence text: '", c("text"), "' (", c("confidence").cast("string"), ")")),
+        said(
+            matches, "correlations",
+            (matched & (c("confidence") < t.min_correlation_confidence), "Low confidence correlation for checkbox ", b, ": ", _fixed("confidence", 3)),
+            (matched & (c("distance") > t.max_correlation_distance), "Large correlation distance for checkbox ", b, ": ", _fixed("distance", 1), "px"),
+            (~matched, "No text match found for checkbox ", b),
+        ),
+    ]
+    tables = [stats, flagged, analysed, regions, matches]
+    pages = tables[0].select("page_id")
+    for df in tables[1:]:
+        pages = pages.unionByName(df.select("page_id"))
+    pages = pages.distinct()
+    for df, issue in zip(tables[1:], ("[checkbox_detection] No checkboxes detected", "[fill_analysis] No analyzed checkboxes provided", "[text_extraction] No text extracted", "[correlations] No correlations provided"), strict=True):
+        found.append(pages.join(df.select("page_id"), "page_id", "left_anti").withColumn("issue", F.lit(issue)))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def detection(boxes: DataFrame, width: int, height: int, t: Thresholds = Thresholds()) -> DataFrame:
     f = detection_issues(boxes, width, height, t)
     n = F.count("*")
@@ -97,12 +150,17 @@ def image(stats: DataFrame) -> DataFrame:
     return stats.withColumn("score", score).withColumn("valid", F.col("score") >= 0.6)
 
 
-def overall(parts: dict[str, DataFrame]) -> DataFrame:
-    """Pages that all five components have: scores, overall score, validity, grade, best and worst component."""
+def overall(parts: dict[str, DataFrame], every_page: bool = False) -> DataFrame:
+    """Pages that all five components have: scores, overall score, validity, grade, best and worst component.
+
+    every_page: pages that any component has; a missing one scores 0 and is not valid.
+    """
     out = None
     for name in COMPONENTS:
         one = parts[name].select("page_id", F.col("score").alias(f"{name}_score"), F.col("valid").alias(f"{name}_valid"))
-        out = one if out is None else out.join(one, "page_id")
+        out = one if out is None else out.join(one, "page_id", "full" if every_page else "inner")
+    if every_page:
+        out = out.fillna(0.0, [f"{n}_score" for n in COMPONENTS]).fillna(False, [f"{n}_valid" for n in COMPONENTS])
     scores = [F.col(f"{n}_score") for n in COMPONENTS]
     best, worst = F.greatest(*scores), F.least(*scores)
     out = out.withColumn("score", sum(scores[1:], scores[0]) / len(COMPONENTS))
@@ -140,7 +198,7 @@ ADVICE = (
 
 
 def recommendations(pages: DataFrame, stats: DataFrame) -> DataFrame:
-    """(page_id, ord, recommendation) for pages of overall() with their image statistics."""
-    joined = pages.join(stats.select("page_id", "width", "height", "contrast", "blur_score"), "page_id")
+    """(page_id, ord, recommendation) for pages of overall(); without image statistics none on the image."""
+    joined = pages.join(stats.select("page_id", "width", "height", "contrast", "blur_score"), "page_id", "left")
     rows = F.array(*(F.when(F.expr(f"{c}_score < {limit}D and {rule}"), F.struct(F.lit(i).alias("ord"), F.lit(said).alias("recommendation"))) for i, (c, limit, rule, said) in enumerate(ADVICE)))
     return joined.select("page_id", F.explode(F.array_compact(rows)).alias("r")).select("page_id", "r.ord", "r.recommendation")

@@ -443,9 +443,9 @@ graded as (select *, case when score >= cast(0.9 as double) then 'A' when score
 _NAMES = "['image', 'checkbox_detection', 'fill_analysis', 'text_extraction', 'correlations']"
 
 
-def _overall(spark, d) -> DataFrame:
+def _overall(spark, d, every_page: bool = False) -> DataFrame:
     b, t = _bt(spark, d)
-    return qu.overall({"image": qu.image(_image_stats(spark, d)), "checkbox_detection": _detection(spark, d), "fill_analysis": qu.fill(fills.rule_vote(fx.boxes(spark, d))), "text_extraction": qu.text(t), "correlations": qu.correlations(co.adaptive_match(b, t))})
+    return qu.overall({"image": qu.image(_image_stats(spark, d)), "checkbox_detection": _detection(spark, d), "fill_analysis": qu.fill(fills.rule_vote(fx.boxes(spark, d))), "text_extraction": qu.text(t), "correlations": qu.correlations(co.adaptive_match(b, t))}, every_page)
 
 
 @query("quality_overall", *_QALL, f"select page_id, round(score, 6) as score, valid, grade, {_NAMES}[list_position(s, list_max(s))] as best, {_NAMES}[list_position(s, list_min(s))] as worst from graded")
@@ -469,6 +469,43 @@ def recommendations(spark, d):
     return qu.recommendations(_overall(spark, d), _image_stats(spark, d))
 
 
+# the same over every page that any component has, and with the issues of all five components
+
+_QEVERY = (*_QALL[:-1], """overall as (select page_id, coalesce(i.score, 0) as image_score, coalesce(d.score, 0) as checkbox_detection_score, coalesce(f.score, 0) as fill_analysis_score, coalesce(t.score, 0) as text_extraction_score, coalesce(c.score, 0) as correlations_score,
+ (coalesce(i.score, 0) + coalesce(d.score, 0) + coalesce(f.score, 0) + coalesce(t.score, 0) + coalesce(c.score, 0)) / 5 as score, coalesce(i.valid and d.valid and f.valid and t.valid and c.valid, false) as valid
+ from qimg i full join qdet d using (page_id) full join qfill f using (page_id) full join qtext t using (page_id) full join qcor c using (page_id))""", _QALL[-1][_QALL[-1].index("graded as"):])
+
+
+@query("quality_overall_every_page", *_QEVERY, f"select page_id, round(score, 6) as score, valid, grade, {_NAMES}[list_position(s, list_max(s))] as best, {_NAMES}[list_position(s, list_min(s))] as worst from graded")
+def quality_overall_every_page(spark, d):
+    return rounded(_overall(spark, d, True).select("page_id", "score", "valid", "grade", "best", "worst"), "score")
+
+
+@query("recommendations_every_page", *_QEVERY, _ADVICE_SQL.replace("graded join istats", "graded left join istats"))
+def recommendations_every_page(spark, d):
+    return qu.recommendations(_overall(spark, d, True), _image_stats(spark, d))
+
+
+@query("quality_issues_all_components", *_QALL[:-1], "all_pages as (select page_id from rasters union select page_id from boxes union select page_id from texts)", """select page_id, '[image] Low resolution: ' || width || 'x' || height || ' (recommend >1000x1000)' as issue from istats where width < 1000 or height < 1000
+union all select page_id, '[image] Low contrast: ' || printf('%.1f', contrast) || ' (recommend >20)' from istats where contrast < 20
+union all select page_id, '[image] Poor brightness: ' || printf('%.1f', brightness) || ' (recommend 50-200)' from istats where not (brightness between 50 and 200)
+union all select page_id, '[image] Image appears blurry: ' || printf('%.1f', blur_score) || ' (recommend >100)' from istats where blur_score < 100
+union all select page_id, '[checkbox_detection] Checkbox ' || box_id || ' too small: ' || area || ' pixels' from flags where too_small
+union all select page_id, '[checkbox_detection] Checkbox ' || box_id || ' too large: ' || area || ' pixels' from flags where too_large
+union all select page_id, '[checkbox_detection] Checkbox ' || box_id || ' has unusual aspect ratio: ' || printf('%.2f', aspect_ratio) from flags where odd_shape
+union all select page_id, '[checkbox_detection] Checkbox ' || box_id || ' extends outside image bounds' from flags where out_of_bounds
+union all select page_id, '[fill_analysis] Checkbox ' || box_id || ' has low fill confidence: ' || printf('%.3f', confidence) from vote where confidence < cast(0.4 as double)
+union all select page_id, '[text_extraction] Low confidence text: ' || chr(39) || text || chr(39) || ' (' || confidence || ')' from texts where confidence < 30
+union all select page_id, '[correlations] Low confidence correlation for checkbox ' || box_id || ': ' || printf('%.3f', confidence) from adapt where text_id is not null and confidence < cast(0.3 as double)
+union all select page_id, '[correlations] Large correlation distance for checkbox ' || box_id || ': ' || printf('%.1f', distance) || 'px' from adapt where text_id is not null and distance > 200
+union all select page_id, '[correlations] No text match found for checkbox ' || box_id from adapt where text_id is null
+union all select page_id, unnest(['[checkbox_detection] No checkboxes detected', '[fill_analysis] No analyzed checkboxes provided', '[correlations] No correlations provided']) from all_pages where page_id not in (select page_id from boxes)
+union all select page_id, '[text_extraction] No text extracted' from all_pages where page_id not in (select page_id from texts)""")
+def quality_issues_all_components(spark, d):
+    b, t = _bt(spark, d)
+    return qu.all_issues(_image_stats(spark, d), qu.detection_issues(fx.plain_boxes(spark, d), W, H), fills.rule_vote(fx.boxes(spark, d)), t, co.adaptive_match(b, t))
+
+
 # ------------------------------------------------------------------ measures
 
 _STATS = ", ".join(f"min({c}) as {n}_min, max({c}) as {n}_max, round(avg({c}), 6) as {n}_mean, round(stddev_pop({c}), 6) as {n}_std" for c, n in (("w", "width"), ("h", "height"), ("area", "area")))

@@ -195,6 +195,43 @@ def test_quality_rules(spark):
     assert qu.image(stats).first().score == pytest.approx((1 + 0.6 + 0.24 + 1) / 4)
 
 
+def test_issues_and_scores_of_every_component(spark):
+    stats = spark.createDataFrame([(1, 800, 1200, 12.25, 220.75, 90.0), (2, 2000, 2000, 60.0, 100.0, 300.0)], "page_id long, width int, height int, contrast double, brightness double, blur_score double")
+    boxes = make(spark, [(1, 0, 10, 10, 20, 20, 0.0), (1, 1, 10, 50, 20, 20, 0.0), (1, 2, 10, 90, 20, 20, 0.0)])
+    analysed = spark.createDataFrame([(1, 0, 0.25, 0.1, False), (1, 1, None, 0.1, False), (1, 2, 0.9, 0.9, True)], "page_id long, box_id long, confidence double, filled_score double, is_filled boolean")
+    regions = spark.createDataFrame([(1, "Yes", 12), (3, "No", 80)], "page_id long, text string, confidence long")
+    m = spark.createDataFrame([(1, 0, 5, 0.125, 250.5), (1, 1, None, 0.0, float("inf")), (1, 2, 6, 0.9, 10.0)], "page_id long, box_id long, text_id long, confidence double, distance double")
+    flagged = qu.detection_issues(boxes, 1700, 2200)
+    got = sorted((r.page_id, r.issue) for r in qu.all_issues(stats, flagged, analysed, regions, m).collect())
+    none = ("[checkbox_detection] No checkboxes detected", "[correlations] No correlations provided", "[fill_analysis] No analyzed checkboxes provided")
+    assert got == sorted([
+        (1, "[image] Low resolution: 800x1200 (recommend >1000x1000)"), (1, "[image] Low contrast: 12.2 (recommend >20)"), (1, "[image] Poor brightness: 220.8 (recommend 50-200)"),
+        (1, "[image] Image appears blurry: 90.0 (recommend >100)"), (1, "[fill_analysis] Checkbox 0 has low fill confidence: 0.250"), (1, "[fill_analysis] Checkbox 1 missing fill analysis"),
+        (1, "[text_extraction] Low confidence text: 'Yes' (12)"), (1, "[correlations] Low confidence correlation for checkbox 0: 0.125"), (1, "[correlations] Large correlation distance for checkbox 0: 250.5px"),
+        (1, "[correlations] No text match found for checkbox 1"), (2, "[text_extraction] No text extracted"), *((p, x) for p in (2, 3) for x in none),
+    ])
+    parts = {"image": qu.image(stats), "checkbox_detection": qu.detection(boxes, 1700, 2200), "fill_analysis": qu.fill(analysed), "text_extraction": qu.text(regions), "correlations": qu.correlations(m)}
+    pages = qu.overall(parts, every_page=True)
+    rows = {r.page_id: r for r in pages.collect()}
+    assert sorted(rows) == [1, 2, 3] and [r.page_id for r in qu.overall(parts).collect()] == [1]
+    assert rows[2].score == pytest.approx(rows[2].image_score / 5) and not rows[2].valid and rows[3].image_score == 0 and rows[3].worst == "image"
+    assert {r.ord for r in qu.recommendations(pages, stats).collect() if r.page_id == 3} == {3, 4, 7, 8, 5, 6}
+
+
+def test_quality_of_every_page_matches_its_sql(spark):
+    import duckdb
+
+    from gridleaf.plans import catalog
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("lineitem", "orders", "embeddings"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name in ("quality_issues_all_components", "quality_overall_every_page", "recommendations_every_page"):
+        df = catalog.QUERIES[name](spark, d)
+        got = sorted(map(repr, (tuple(r) for r in df.collect())))
+        assert got == sorted(map(repr, con.sql(f"select {', '.join(df.columns)} from ({catalog.ORACLES[name]})").fetchall())), name
+
+
 def test_measures(spark):
     same = make(spark, [(1, i, 0, 0, 20, 20, 0.0) for i in range(5)])
     assert ms.suggest_range(same).first().n == 0  # no deviation: all are trimmed
