@@ -34,7 +34,7 @@ from .common import chunks, counted, lookup, mix, released, saved, signed, small
 
 HEAD = 1 << 17
 ARCS = 1 << 20
-LEAST = 2
+LEAST = 1
 DISCOUNT = 0.5
 PRIOR = 1.0
 #: Distinct keys that a task gathers before it passes them on to the shuffle.

@@ -445,6 +445,16 @@ def test_arcs_of_a_state_sum_to_one(spark):
         assert steps[1] == pytest.approx(math.log10(plain.after(v, w))) and ask[1] == ((v, w) not in plain.arcs)
 
 
+def test_pairs_seen_once_have_their_own_probability(spark):
+    frame = docs_of(spark, ["a b", "b", "a", "a b", "b a"], clash=False)
+    train = frame.where("doc_id < 3").select("text")
+    out = rows_of(lm.score_texts(frame, lm.train(train, lm.word_counts(train))))
+    # 7 tokens, 3 different: a 2, b 2, end 3; pairs a b, b end twice, a end
+    uni = lambda n: (n + 0.5) / (7 + 0.5 * 4)
+    a_b, b_end = (1 - 0.5 + 2 * uni(2)) / 3, (2 - 0.5 + 1.5 * uni(3)) / 3
+    assert out[3].score == pytest.approx(math.log10(uni(2)) + math.log10(a_b) + math.log10(b_end))
+
+
 def test_lm_rows_and_ids_that_repeat(spark):
     rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "a b", "en", "s", 3), (2, "x " * 50_000, None, None, 0)]
     frame = spark.createDataFrame(rows, DOC).withColumns({k: F.lit("x") for k in (*CLASH, "v", "w", "n", "text_", "code", "c", "kept")})
