@@ -88,12 +88,13 @@ def all_issues(stats: DataFrame, flagged: DataFrame, analysed: DataFrame, region
         ),
     ]
     tables = [stats, flagged, analysed, regions, matches]
-    pages = tables[0].select("page_id")
-    for df in tables[1:]:
-        pages = pages.unionByName(df.select("page_id"))
-    pages = pages.distinct()
-    for df, issue in zip(tables[1:], ("[checkbox_detection] No checkboxes detected", "[fill_analysis] No analyzed checkboxes provided", "[text_extraction] No text extracted", "[correlations] No correlations provided"), strict=True):
-        found.append(pages.join(df.select("page_id"), "page_id", "left_anti").withColumn("issue", F.lit(issue)))
+    empty = (None, "[checkbox_detection] No checkboxes detected", "[fill_analysis] No analyzed checkboxes provided", "[text_extraction] No text extracted", "[correlations] No correlations provided")
+    pages = tables[0].select("page_id", F.lit(0).alias("k"))
+    for k, df in enumerate(tables[1:], 1):
+        pages = pages.unionByName(df.select("page_id", F.lit(k).alias("k")))
+    pages = pages.groupBy("page_id").agg(F.collect_set("k").alias("ks"))
+    missing = F.array(*(F.when(~F.array_contains("ks", k), text) for k, text in enumerate(empty) if text))
+    found.append(pages.select("page_id", F.explode(F.array_compact(missing)).alias("issue")))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
