@@ -70,10 +70,27 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs less the rows whose id is in ids (one column, ``drop_id``); its columns stay as they are."""
-    ids = saved(ids.select(F.col("drop_id").alias("__drop_id")).where("__drop_id is not null").distinct(), "drop")
-    return docs.join(maybe_broadcast(ids), docs[id_col] == ids["__drop_id"], "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, saved, with a number of its own for each row in front, and that column's name: ids may repeat or be null.
+
+    The table is written before it is read again, so a number never changes with a retry.
+    """
+    row = "__row"
+    while row in [c.lower() for c in docs.columns]:
+        row += "_"
+    return saved(docs.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in docs.columns)), "numbered"), row
+
+
+def without_rows(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """A numbered() table less the rows whose number is in gone (one column), without the numbers."""
+    gone = saved(gone.select(F.col(gone.columns[0]).alias("__gone")).distinct(), "drop")
+    kept = rows.join(maybe_broadcast(gone), rows[row] == gone["__gone"], "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in rows.columns if c != row))
+
+
+def least_id(id_col: str, row: str) -> F.Column:
+    """What decides which of several rows stays: the least id, null after all others, then the row's number."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
 
 
 def least_hashed(rows: DataFrame, order: str, k: int, count: int) -> DataFrame:
@@ -137,16 +154,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
-_BYTES = splitmix(256, 7) | np.uint64(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BYTES = splitmix(256, 7) | np.uint64(1)
 _BYTES_LOWER = _BYTES[_LOWER]
 WS = np.zeros(256, bool)
 WS[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], by one prefix sum over all of them."""
+    """A 64-bit hash of each values[start:end], by one prefix sum over all of them.
+
+    Spans of some dozens of hashed values only: over 1,000 values in certain orders collide.
+    """
     with np.errstate(over="ignore"):
         pw, inv = powers(len(values) + 1)
         total = np.zeros(len(values) + 1, np.uint64)
@@ -210,14 +230,41 @@ def split_words(chunk: Chunk, inside: np.ndarray | None = None) -> Words:
     return Words(start, end, np.searchsorted(start, offs))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def lane_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end] of bytes: each eight bytes are mixed with their place, the sum with the length.
+
+    Spans of up to eight bytes and one length never collide; longer ones do only by chance.
+    """
+    size = end - start
+    lanes = np.maximum((size + 7) >> 3, 1)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    words = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    first = np.cumsum(lanes) - lanes
+    one = len(lanes) == 0 or int(lanes.max()) == 1
+    place = np.zeros(len(start), np.int64) if one else np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+    at = start if one else np.repeat(start, lanes) + 8 * place
+    left = (size if one else np.repeat(size, lanes)) - 8 * place
+    with np.errstate(over="ignore"):
+        value = words[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(np.maximum(left, 0), 8).astype(np.uint64) * np.uint64(8)) % np.uint64(64))
+        value[left <= 0] = 0
+        value = mix(mix(value ^ np.uint64(seed)) + (place + 1).astype(np.uint64) * _STEP)
+        if not one:
+            value = np.add.reduceat(value, first)
+        return mix(value + size.astype(np.uint64) * _C2)
+
+
 def word_hashes(chunk: Chunk, words: Words, lower: bool = False) -> np.ndarray:
-    return span_hash((_BYTES_LOWER if lower else _BYTES)[chunk.buf], words.start, words.end)
+    return lane_hash(_LOWER[chunk.buf] if lower else chunk.buf, words.start, words.end)
 
 
 def hash_word(word: str | bytes, lower: bool = False) -> int:
     """The hash that word_hashes gives this word."""
     raw = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8)
-    return int(span_hash((_BYTES_LOWER if lower else _BYTES)[raw], np.zeros(1, np.int64), np.array([len(raw)]))[0])
+    return int(lane_hash(_LOWER[raw] if lower else raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

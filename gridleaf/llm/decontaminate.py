@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lookup, released, small_batches, split_words, table, without_ids, word_hashes
+from .common import chunks, lookup, numbered, released, small_batches, split_words, table, without_rows, word_hashes
 
 BLOCK = 24
 SKETCH = 32
@@ -250,5 +250,6 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain a benchmark item go."""
     small_batches(spark)
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.select(F.col("doc_id").alias("drop_id")), "doc_id")
+    rows, row = numbered(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), row)
+    return without_rows(rows, row, found.select(row))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, without_ids
+from .common import least_id, numbered, saved, table, without_rows
 
 #: A digest on more than 1 / HOT_SHARE of all rows is hot, so at most HOT_SHARE digests are.
 HOT_SHARE = 2000
@@ -60,8 +60,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the least doc_id stays."""
-    return without_ids(docs, exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("drop_id")), "doc_id")
+    """Pipeline stage: of equal texts one row stays, of the least doc_id (null after all others); of rows that repeat, one."""
+    rows, row = numbered(docs)
+    found = exact_dedup(rows.select(least_id("doc_id", row).alias("id"), "text"), "id")
+    return without_rows(rows, row, found.where("not kept").select("id.row"))
 
 
 SQL = r"""

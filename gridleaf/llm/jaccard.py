@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, connected, maybe_broadcast, mix, released, saved, signed, small_batches, span_hash, split_words, splitmix, table, without_ids, word_hashes
+from .common import chunks, connected, least_id, maybe_broadcast, mix, numbered, released, saved, signed, small_batches, span_hash, split_words, splitmix, table, without_rows, word_hashes
 
 N = 5
 THRESHOLD = 0.8
@@ -240,7 +240,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least doc_id stays."""
+    """Pipeline stage: of each class one row stays, of the least doc_id (null after all others)."""
     small_batches(spark)
-    gone = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("drop_id"))
-    return without_ids(docs, gone, "doc_id")
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("row"), "text"), "row").where("class_size > 1").select("row", "class_id")
+    found = saved(found.join(rows.select(F.col(row).alias("of"), least_id("doc_id", row).alias("key")), F.col("row") == F.col("of")).select("row", "class_id", "key"), "classed")
+    stay = found.groupBy("class_id").agg(F.min("key").alias("key")).select(F.col("key.row").alias("stays"))
+    return without_rows(rows, row, found.select("row").join(stay, F.col("row") == F.col("stays"), "left_anti"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, least_hashed, lookup, released, small_batches, table
+from .common import chunks, lookup, released, small_batches, table
 
 ORDER = 3
 TRAIN_DOCS = 600
@@ -66,6 +66,7 @@ class Model:
         """texts: the folded training texts of each language."""
         self.langs = langs
         joined = [b"".join(t) for t in texts]
+        self.learned = sum(map(len, joined))  # bytes
         self.blocks: list[tuple[list[int], Model]] = []  # (places of its languages, model)
         if len(langs) > BLOCK:
             counts = [np.bincount(np.frombuffer(data, np.uint8), minlength=256) for data in joined]
@@ -194,22 +195,30 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     """The model of all languages, each of at most TRAIN_DOCS texts."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(order_col).alias("order"), F.col(text_col).alias("text"))
     rows = rows.where(F.octet_length("text") <= TRAIN_BYTES)
-    langs = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    texts: dict[str, list[bytes]] = {k: [] for k in sorted(langs)}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
+    # a hash cut by language leaves about 1.5 TRAIN_DOCS rows of each, whatever the size of the table; then a rank decides
+    cuts = {k: -(1 << 63) + int((1 << 64) * (1.5 * TRAIN_DOCS + 200) / n) for k, n in counts.items() if n > 2 * TRAIN_DOCS + 200}
+    if cuts:
+        cut = rows.sparkSession.createDataFrame(list(cuts.items()), "of string, cut long")
+        rows = rows.join(F.broadcast(cut), F.col("lang") == F.col("of"), "left").where(F.col("cut").isNull() | (F.col("order") <= F.col("cut"))).select("lang", "order", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    got = rows.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).select("lang", "text", "rank").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    langs = np.array(got["lang"].to_pylist(), object)
     for lang in texts:
-        own = least_hashed(rows.where(F.col("lang") == lang), "order", TRAIN_DOCS, langs[lang]).orderBy("order", "text").limit(TRAIN_DOCS)
-        got = own.select("text").toArrow()["text"].combine_chunks()
-        for c in chunks(got):
+        own = got["text"].take(pa.array(np.flatnonzero(langs == lang))).combine_chunks()
+        for c in chunks(own):
             folded, offs = _folded(c)
             texts[lang] += [folded[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
     return Model(list(texts), list(texts.values()))
 
 
 def predict_language(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the columns {prefix}lang_pred, {prefix}score and {prefix}bits_per_byte appended."""
+    """docs with the columns {prefix}lang_pred, {prefix}score and {prefix}bits_per_byte appended, in place of such columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
     names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits_per_byte"]
+    docs = docs.drop(*names)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +251,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold5() == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without a language (null, no letter) are rejected; all others stay."""
-    small_batches(spark)
-    found = predict_language(docs, fit(training_rows(docs)), prefix="__lid_")
-    return found.where(F.col("__lid_lang_pred") != UND).select(*(F.col(f"`{c}`") for c in docs.columns))
+#: The pipeline rejects a text whose code in the best language is longer than that of random bytes (8 bits each)
+#: by this many bits, so the odds that it is in a learned language are under one in 2**EXCESS.
+EXCESS = 64
+#: Training bytes below which the trees have seen too few contexts to call a text foreign.
+LEARNED = 1 << 16
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: texts without a language go; all others stay, unchanged.
+
+    These are null texts, texts without a letter, and texts that random bytes explain better than
+    every learned language does (noise, or a script without a labelled document; see EXCESS).
+    Where fewer than LEARNED bytes are labelled, texts with a letter stay.
+    """
+    small_batches(spark)
+    model = fit(training_rows(docs))
+    found = predict_language(docs, model, prefix="__lid_")
+    spoken = F.col("__lid_lang_pred") != UND
+    if not model.langs:
+        spoken = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    elif model.learned >= LEARNED:
+        spoken &= (F.col("__lid_bits_per_byte") - 8) * F.octet_length("text") < EXCESS
+    return found.where(spoken).select(*(F.col(f"`{c}`") for c in docs.columns))

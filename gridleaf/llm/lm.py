@@ -6,22 +6,26 @@ U being the base's unigram probability, and a state's failure arc to the empty h
 weighs back(v) / (c(v) + PRIOR), where back(v) = PRIOR + c(v) - sum of its arcs' (n - DISCOUNT):
 the arcs of each state sum to one with what they leave to failure. A text is read once from
 left to right: the state is carried, a missing arc follows the failure arc and pays its
-weight, and log-probabilities accumulate. All texts of a chunk take the step at once on arrays.
-
-The model has no bound on its size. The HEAD commonest words and the ARCS commonest arcs are
-held in each task; where the walk meets another word or arc it takes the failure arc and asks
-for the difference, (id, v, w, times), which one join with the whole table of words and arcs
-answers. The two bounds decide where an answer comes from, never what it is.
-
-Tokens: A-Z lower-cased, words, then one end a text. Defined cases: a null or empty text
-is its end alone; with no training text N = V = 0 and every token has probability
-0.5 / 0.5 = 1, its logarithm 0. Rows repeat as often as in the input; repeated ids keep
-their own rows by adding up over one id (their sums are added). Extra columns are ignored.
+weight, and log-probabilities accumulate. All texts of a batch take the step at once on arrays.
+
+The model has no bound on its size: it is a saved table of buckets, each with the sorted arcs
+and states that hash to it, packed (see pack). Arcs of a rare state share its bucket; those of
+the HEAD commonest words are spread. Tasks hold the HEAD words and the ARCS commonest arcs.
+Texts are walked in batches of BATCH tokens: where the walk meets another word or arc it
+takes the failure arc, and asks the arc's bucket once for all texts of the batch; the answers
+come back to the batch, which adds the difference. The bounds decide where an answer comes
+from, never what it is. Buckets and batches grow in number with the input, not in size.
+
+Tokens: A-Z lower-cased, words, then one end a text. Words are told apart by 64-bit hashes.
+Defined cases: a null or empty text is its end alone; with no training text N = V = 0 and every
+token has probability 0.5 / 0.5 = 1, its logarithm 0. score_rows() gives a row for every row of
+its input, whatever ids repeat or are null; score_texts() adds the rows of one id up, null being
+one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,11 +43,13 @@ DISCOUNT = 0.5
 PRIOR = 1.0
 #: Distinct keys that a task gathers before it passes them on to the shuffle.
 FLUSH = 1 << 20
+#: Tokens that are walked together; a longer text is a batch of its own.
+BATCH = 1 << 20
+#: Training tokens a bucket of the model stands for.
+BUCKET = 1 << 21
 _END = np.uint64(0x1)  # the end token's hash; words have mixed hashes
 #: A word's code is its place in the head, or its hash with this bit (a negative number).
 _RARE = np.uint64(1 << 63)
-#: In place of an arc's second word: the row asks for the first word itself, or holds a text's own sums.
-_WORD, _TEXT = 1 << 40, 1 << 41
 
 
 def tokens(chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +101,87 @@ def _counts(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(released(_count_rows(keys_of)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _runs(group: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct (group, v, w) and the sums of n (1 each by default); group is under 2**10."""
-    with np.errstate(over="ignore"):
-        key = mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
-    order = np.argsort(group.astype(np.uint64) << np.uint64(54) | key >> np.uint64(10))
-    group, v, w = group[order], v[order], w[order]
-    # pairs whose keys are equal by chance may stay in several runs, which only makes more rows
+# ---------------------------------------------------------------- arcs as arrays
+
+_CODEC = pa.Codec("zstd")
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Integer columns in a few bytes a row: the first, which is sorted, by its steps; all byte by byte, compressed."""
+    out = [len(columns).to_bytes(8, "little")]
+    for k, c in enumerate(columns):
+        c = np.ascontiguousarray(c, np.int64)
+        if not k:
+            with np.errstate(over="ignore"):
+                c = np.diff(c, prepend=np.int64(0))
+        z = _CODEC.compress(c.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
+        out += [len(c).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 8
+    for k in range(int.from_bytes(data[:8], "little")):
+        n, size = (int.from_bytes(data[at + j : at + j + 8], "little") for j in (0, 8))
+        raw = np.frombuffer(_CODEC.decompress(data[at + 16 : at + 16 + size], 8 * n, asbytes=True), np.uint8)
+        c = np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).ravel()
+        out.append(np.cumsum(c) if not k else c)
+        at += 16 + size
+    return out
+
+
+def _order(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """An order that brings equal arcs together: by v and w, those of a rare word first."""
+    plain = (v >= 0) & (w >= 0)
+    a, b = np.flatnonzero(plain), np.flatnonzero(~plain)
+    return np.concatenate([b[np.lexsort((w[b], v[b]))], a[np.argsort(v[a] << 32 | w[a])]])
+
+
+def _starts(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Where runs of equal arcs start in ordered arcs."""
     new = np.ones(len(v), bool)
-    new[1:] = (group[1:] != group[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    if not len(at):
-        return group, v, w, np.zeros(0, np.int64)
-    n = np.diff(np.append(at, len(v))) if n is None else np.add.reduceat(n[order], at)
-    return group[at], v[at], w[at], n.astype(np.int64)
+    new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+    return np.flatnonzero(new)
+
+
+def _runs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct arcs in order, and the sums of n."""
+    order = _order(v, w)
+    v, w = v[order], w[order]
+    at = _starts(v, w)
+    return v[at], w[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def _bucket(v: np.ndarray, w: np.ndarray | None, buckets: int) -> np.ndarray:
+    """The bucket of each arc: its state's where that is a rare word, else its own. Without w, of words."""
+    with np.errstate(over="ignore"):
+        h = mix(v.view(np.uint64))
+        if w is not None:
+            h = np.where(v < 0, h, mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)))
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, its rows) of sorted buckets."""
+    cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(buckets)], strict=False):
+        yield int(buckets[a]), slice(a, b)
+
+
+def _level(n):
+    """The bin of a count in the histogram of counts: log2(n) / 64."""
+    return np.floor(np.log2(n) * 64).astype(np.int64)
+
+
+def _cut(levels: list[tuple[int, int]], most: int) -> int | None:
+    """The least level above which at most `most` rows lie; None if there is none."""
+    held, cut = 0, None
+    for level, count in sorted(levels, reverse=True):
+        held += count
+        if held > most:
+            break
+        cut = level
+    return cut
 
 
 def _commonest(counts: DataFrame, most: int) -> pa.Table:
@@ -118,25 +191,13 @@ def _commonest(counts: DataFrame, most: int) -> pa.Table:
     any size of the table, so no task merges the top rows of all others.
     """
     level = F.floor(F.log2("n") * 64)
-    held, cut = 0, None
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        held += row["count"]
-        if held > most:
-            break
-        cut = row["level"]
+    cut = _cut([(r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()], most)
     return (counts.where(F.lit(False)) if cut is None else counts.where(level >= cut)).toArrow()
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of tables that are written by now."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
-def _log_back(c, kept):
-    """log10 weight of a failure arc; Columns or arrays."""
-    log10 = np.log10 if isinstance(c, np.ndarray) else F.log10
-    return log10((c - kept + PRIOR) / (c + PRIOR))
+def _log_back(c: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """log10 weight of a failure arc."""
+    return np.log10((c - kept + PRIOR) / (c + PRIOR))
 
 
 class Slots:
@@ -210,38 +271,59 @@ class Automaton:
         ask[both] = False
         return out, ask
 
-    def score(self, chunk) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, head tokens, base and model sums; then what is asked for: text, v, w, times."""
-        h, first = tokens(chunk)
-        codes = self.codes(h)
-        inside = codes >= 0
-        base = np.where(inside, self.uni[np.maximum(codes, 0)], 0.0) if len(self.uni) else np.zeros(len(h))
-        steps, ask = self.steps(codes, first)
-        cut = first[:-1]
-        sums = [np.add.reduceat(x, cut) for x in (inside.astype(np.int64), base, steps)]
-        text = np.repeat(np.arange(len(cut)), np.diff(first))
-        arc, rare = np.flatnonzero(ask), np.flatnonzero(~inside)
-        asked = _runs(
-            np.concatenate([text[arc], text[rare]]),
-            np.concatenate([codes[arc - 1], codes[rare]]),
-            np.concatenate([codes[arc], np.full(len(rare), _WORD)]),
-        )
-        return np.diff(first), *sums, *asked
-
 
 class Model(NamedTuple):
-    """An automaton, and tables for what it does not hold."""
+    """An automaton, and the saved buckets of what it does not hold."""
 
     automaton: Automaton
-    words: DataFrame  # code, c, kept of words outside the head
-    arcs: DataFrame  # v, w, x: arcs outside the automaton add log10(1 + x) to failing
+    table: DataFrame  # bucket, arcs (v, w, n), words (code, c, distinct arcs), seen (head word, arcs here), levels (level, arcs)
+    buckets: int
+    least: int | None  # head arcs of this level or more are in the automaton
+
+    @property
+    def arcs(self) -> DataFrame:
+        """(v, w, n) of the arcs outside the automaton."""
+        least = self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    v, w, n = unpack(data)
+                    out = ~_inside(v, w, n, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (v, w, n)], ["v", "w", "n"])
+
+        return self.table.select("arcs").mapInArrow(released(run), "v long, w long, n long")
 
+    @property
+    def words(self) -> DataFrame:
+        """(code, c, distinct) of the words outside the head: count and number of arcs."""
 
-def _arc_counts(texts: DataFrame, shared) -> DataFrame:
-    """(v, w, n) of all word pairs of a table of one text column."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(data)], ["code", "c", "distinct"])
+
+        return self.table.select("words").mapInArrow(released(run), "code long, c long, distinct long")
+
+
+def _inside(v: np.ndarray, w: np.ndarray, n: np.ndarray, least: int | None) -> np.ndarray:
+    """The arcs that the automaton holds."""
+    if least is None:
+        return np.zeros(len(v), bool)
+    return (v >= 0) & (w >= 0) & (_level(n) >= least)
+
+
+def _arc_blobs(texts: DataFrame, shared, buckets: int) -> DataFrame:
+    """(bucket, kind 0, blob of v, w, n): the word pairs of a table of one text column, counted within tasks."""
+
+    def deal(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        b = _bucket(v, w, buckets)
+        order = np.argsort(b, kind="stable")
+        v, w, n, b = v[order], w[order], n[order], b[order]
+        got = [(k, pack(v[at], w[at], n[at])) for k, at in _dealt(b)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([0] * len(got), pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(k) for k in x[1:]], ["v", "w", "n"])
         merge = lambda parts: _runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         parts, held = [], 0
         for batch in batches:
@@ -251,18 +333,67 @@ def _arc_counts(texts: DataFrame, shared) -> DataFrame:
                 inner = np.ones(len(codes), bool)
                 inner[first[:-1]] = False
                 at = np.flatnonzero(inner)
-                parts.append(_runs(np.zeros(len(at), np.int64), codes[at - 1], codes[at]))
+                parts.append(_runs(codes[at - 1], codes[at], np.ones(len(at), np.int64)))
                 held += len(parts[-1][0])
                 if held > FLUSH:
                     parts = [merge(parts)]
                     held = len(parts[0][0])
                     if held > FLUSH // 2:
-                        yield rows(parts.pop())
+                        yield deal(*parts.pop())
                         held = 0
         if parts:
-            yield rows(merge(parts))
+            yield deal(*merge(parts))
+
+    return texts.mapInArrow(released(run), "bucket long, kind int, blob binary")
+
+
+def _word_blobs(rare: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, kind 1, blob of code, n) of the words outside the head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = signed(batch.column(0).to_numpy().view(np.uint64) | _RARE), batch.column(1).to_numpy()
+            b = _bucket(code, None, buckets)
+            order = np.lexsort((code, b))
+            code, n, b = code[order], n[order], b[order]
+            got = [(k, pack(code[at], n[at])) for k, at in _dealt(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([1] * len(got), pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "kind", "blob"])
+
+    return rare.select("key", "n").mapInArrow(released(run), "bucket long, kind int, blob binary")
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    """One row of the model's table from the blobs of a bucket."""
+    parts = ([], [])
+    for kind, blob in zip(group["kind"].to_pylist(), group["blob"].to_pylist(), strict=True):
+        parts[kind].append(unpack(blob))
+    none = np.zeros(0, np.int64)
+    v, w, n = _runs(*(np.concatenate(x) for x in zip(*parts[0], strict=True))) if parts[0] else (none, none, none)
+    keep = n >= LEAST
+    v, w, n = v[keep], w[keep], n[keep]
+    code, c = (np.concatenate(x) for x in zip(*parts[1], strict=True)) if parts[1] else (none, none)
+    order = np.argsort(code)
+    code, c = code[order], c[order]
+    states, arcs = counted(v)
+    at = lookup(states, code)
+    distinct = np.where(at >= 0, arcs[at] if len(arcs) else 0, 0)
+    own = states >= 0
+    head = (v >= 0) & (w >= 0)
+    levels, size = counted(_level(n[head]))
+    blobs = [pack(v, w, n), pack(code, c, distinct), pack(states[own], arcs[own]), pack(levels, size)]
+    return pa.table([group["bucket"].slice(0, 1), *([x] for x in blobs)], pa.schema([("bucket", pa.int64()), *((k, pa.binary()) for k in ("arcs", "words", "seen", "levels"))]))
+
+
+def _summed(blobs: DataFrame) -> DataFrame:
+    """(key, n): sums by key of a column of blobs of (key, n), added up within tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for batch in batches:
+            got = [_gather([*got, *(tuple(unpack(x)) for x in batch.column(0).to_pylist())])]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in got[0]], ["key", "n"])
 
-    return texts.mapInArrow(released(run), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    return blobs.mapInArrow(released(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame, words: DataFrame) -> Model:
@@ -274,67 +405,208 @@ def train(texts: DataFrame, words: DataFrame) -> Model:
     order = np.lexsort((keys, -n))
     model = Automaton(np.ascontiguousarray(keys[order]).view(np.uint64), n[order], int(total), int(distinct))
     shared = spark.sparkContext.broadcast(model)  # HEAD words at most
-    arcs = saved(_arc_counts(texts, shared).where(F.col("n") >= LEAST), "arcs")
-    _release(spark)
-    states = saved(arcs.groupBy("v").agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("kept")), "states")
-    own = states.where("v >= 0").toArrow()  # HEAD rows at most
-    model.add_states(own["v"].to_numpy(), own["kept"].to_numpy())
-    head = (F.col("v") >= 0) & (F.col("w") >= 0)
-    top = _commonest(arcs.where(head), ARCS)
-    model.add_arcs(top["v"].to_numpy(), top["w"].to_numpy(), top["n"].to_numpy())
-    inside = F.lit(False) if not len(top) else head & (F.col("n") >= int(top["n"].to_numpy().min()))
-
+    buckets = max(1, int(total) // BUCKET)
     rare = words.where(F.col("n") < int(n.min())) if len(n) else words
-    rare = rare.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("code"), F.col("n").alias("c"))
-    kept = states.where("v < 0").select(F.col("v").alias("code"), "kept")
-    rare = saved(rare.join(kept, "code", "left").select("code", "c", F.coalesce("kept", F.lit(0.0)).alias("kept")), "rare")
-
-    ids = np.arange(len(model.n))
-    common = F.broadcast(spark.createDataFrame(pa.table({"code": ids, "c": n[order], "kept": model.kept}), "code long, c long, kept double"))  # HEAD rows at most
-    rest = arcs.where(~inside)
-    for at in ("v", "w"):
-        # a common word has very many arcs: it is answered by the broadcast rows, others by a shuffle
-        with_word = lambda few: few.select(F.col("code").alias(at), F.col("c").alias(f"c_{at}"), F.col("kept").alias(f"kept_{at}"))  # noqa: E731, B023
-        rest = rest.where(F.col(at) >= 0).join(with_word(common), at).unionByName(rest.where(F.col(at) < 0).join(with_word(rare), at))
-    chance = (F.col("c_w") + 0.5) / F.lit(float(total + 0.5 * (distinct + 1)))
-    x = (F.col("n") - DISCOUNT) / ((F.col("c_v") - F.col("kept_v") + PRIOR) * chance)
-    return Model(model, rare, saved(rest.select("v", "w", x.alias("x")), "answers"))
+    blobs = _arc_blobs(texts, shared, buckets).unionByName(_word_blobs(rare, buckets))
+    rows = blobs.groupBy("bucket").applyInArrow(_merged, "bucket long, arcs binary, words binary, seen binary, levels binary")
+    rows = saved(rows, "model")
+    own = _summed(rows.select("seen")).toArrow()  # HEAD rows at most
+    ids, arcs = own["key"].to_numpy(), own["n"].to_numpy()
+    model.add_states(ids, np.where(arcs > 0, model.n[ids] - DISCOUNT * arcs, 0.0))
+    least = _cut([(r["key"], r["n"]) for r in _summed(rows.select("levels")).collect()], ARCS)
+    model.add_arcs(*_common_arcs(rows, least))
+    return Model(model, rows, buckets, least)
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, automaton = docs.sparkSession, model.automaton
-    shared = spark.sparkContext.broadcast(automaton)  # HEAD words and ARCS arcs at most
+def _common_arcs(rows: DataFrame, least: int | None) -> list[np.ndarray]:
+    """v, w and n of the arcs that the automaton holds: ARCS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                v, w, n = unpack(data)
+                own = _inside(v, w, n, least)
+                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (v, w, n)], ["v", "w", "n"])
+
+    if least is None:
+        return [np.zeros(0, np.int64)] * 3
+    got = rows.select("arcs").mapInArrow(released(run), "v long, w long, n long").toArrow()
+    return [got[k].to_numpy() for k in ("v", "w", "n")]
+
+
+# ---------------------------------------------------------------- scores
+
+_SUMS = ("n_tokens", "n_known", "base_score", "score")
+
+
+class _Walk:
+    """Texts of one batch as far as the automaton takes them, and what is asked for."""
+
+    def __init__(self, automaton: Automaton, buckets: int, codes: np.ndarray, first: np.ndarray):
+        steps, ask = automaton.steps(codes, first)
+        inside = codes >= 0
+        base = np.where(inside, automaton.uni[np.maximum(codes, 0)], 0.0) if len(automaton.uni) else np.zeros(len(codes))
+        cut = first[:-1]
+        self.sums = [np.diff(first), *(np.add.reduceat(x, cut) for x in (inside.astype(np.int64), base, steps))]
+        text = np.repeat(np.arange(len(cut)), np.diff(first))
+        arc, rare = np.flatnonzero(ask), np.flatnonzero(~inside)
+        v, w = codes[arc - 1], codes[arc]
+        # distinct arcs and words, by bucket; a token's answer has its place there
+        order = _order(v, w)
+        at = _starts(v[order], w[order])
+        which = np.empty(len(v), np.int64)
+        which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(v))))
+        self.v, self.w = v[order[at]], w[order[at]]
+        by, self.arc_bucket = self._by_bucket(_bucket(self.v, self.w, buckets))
+        self.v, self.w = self.v[by], self.w[by]
+        self.words, word = np.unique(codes[rare], return_inverse=True)
+        by_word, self.word_bucket = self._by_bucket(_bucket(self.words, None, buckets))
+        self.words = self.words[by_word]
+        self.arc_of, self.word_of = np.argsort(by)[which], np.argsort(by_word)[word]
+        self.arcs_of_text, self.words_of_text = (np.bincount(text[x], minlength=len(cut)) for x in (arc, rare))
+
+    @staticmethod
+    def _by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(buckets, kind="stable")
+        return order, buckets[order]
+
+    def asked(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob of arcs and words); arcs come first."""
+        arcs, words = dict(_dealt(self.arc_bucket)), dict(_dealt(self.word_bucket))
+        none = slice(0, 0)
+        for k in sorted(arcs.keys() | words.keys()):
+            a, b = arcs.get(k, none), words.get(k, none)
+            yield k, pack(self.v[a], self.w[a]) + pack(self.words[b])
+
+    def blob(self) -> bytes:
+        """All that scored() needs beside the answers."""
+        with np.errstate(over="ignore"):
+            return pack(self.sums[0], self.sums[1], self.arcs_of_text, self.words_of_text, self.sums[2].view(np.int64), self.sums[3].view(np.int64)) + pack(self.arc_of) + pack(self.word_of)
+
+
+def _several(data: bytes, n: int) -> list[list[np.ndarray]]:
+    """The columns of n packs one after the other."""
+    out = []
+    for _ in range(n):
+        out.append(unpack(data))
+        at = 8
+        for _ in out[-1]:
+            at += 16 + int.from_bytes(data[at + 8 : at + 16], "little")
+        data = data[at:]
+    return out
+
+
+def _answered(asks: pa.Table, model: pa.Table) -> pa.Table:
+    """(batch, bucket, kind 1, blob): counts of the arcs and words that each batch asks one bucket for."""
+    none = np.zeros(0, np.int64)
+    (v, w, n), (code, c, distinct) = (unpack(model["arcs"][0].as_py()), unpack(model["words"][0].as_py())) if len(model) else ([none] * 3, [none] * 3)
+    blobs = []
+    for blob in asks["blob"].to_pylist():
+        (av, aw), (word,) = _several(blob, 2)
+        at = lookup(code, word)
+        found = [np.where(at >= 0, x[at] if len(x) else 0, 0) for x in (c, distinct)]
+        blobs.append(pack(_find(v, w, n, av, aw)) + pack(*found))
+    kinds = pa.array(np.ones(len(blobs), np.int32))
+    return pa.table([asks["batch"], asks["bucket"], kinds, pa.array(blobs, pa.binary())], ["batch", "bucket", "kind", "blob"])
+
+
+def _find(v: np.ndarray, w: np.ndarray, n: np.ndarray, av: np.ndarray, aw: np.ndarray) -> np.ndarray:
+    """n of each asked arc, 0 where there is none; both in the order of _order."""
+    out = np.zeros(len(av), np.int64)
+    plain, asked = (v >= 0) & (w >= 0), (av >= 0) & (aw >= 0)
+    at = lookup(v[plain] << 32 | w[plain], av[asked] << 32 | aw[asked])
+    out[asked] = np.where(at >= 0, n[plain][at] if plain.any() else 0, 0)
+    if not asked.all() and not plain.all():
+        v, w, n, av, aw = v[~plain], w[~plain], n[~plain], av[~asked], aw[~asked]
+        both_v, both_w = np.concatenate([v, av]), np.concatenate([w, aw])
+        order = np.lexsort((np.arange(len(both_v)) >= len(v), both_w, both_v))  # the model's arc before an asked one
+        x, y = both_v[order], both_w[order]
+        same = np.concatenate([[False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])])
+        count = np.concatenate([n, np.zeros(len(av), np.int64)])[order]
+        hit = np.flatnonzero(same)
+        got = np.zeros(len(both_v), np.int64)
+        got[order[hit]] = count[hit - 1]
+        out[~asked] = got[len(v) :]
+    return out
+
+
+def _scored(automaton: Automaton, rows: pa.Table) -> pa.Table:
+    """The rows of one batch: its walk (kind 0), its asks (kind 2) and their answers (kind 1)."""
+    kind, bucket, blob = rows["kind"].to_numpy(), rows["bucket"].to_numpy(), rows["blob"].to_pylist()
+    order = np.lexsort((bucket, kind))
+    (walk,) = (k for k in order if kind[k] == 0)
+    (size, known, arcs_of_text, words_of_text, base, score), (arc_of,), (word_of,) = _several(blob[walk], 3)
+    base, score = base.view(np.float64).copy(), score.view(np.float64).copy()
+    asked = [_several(blob[k], 2) for k in order if kind[k] == 2]
+    got = [_several(blob[k], 2) for k in order if kind[k] == 1]
+    join = lambda parts, i, j: np.concatenate([p[i][j] for p in parts]) if parts else np.zeros(0, np.int64)
+    v, w, word = join(asked, 0, 0), join(asked, 0, 1), join(asked, 1, 0)
+    n, c, distinct = join(got, 0, 0), join(got, 1, 0), join(got, 1, 1)
+    kept = np.where(distinct > 0, c - DISCOUNT * distinct, 0.0)
+    rank = np.argsort(word)
+
+    def of(code: np.ndarray, head: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """A number of each word, from the automaton or from the answers."""
+        at = lookup(word[rank], code)
+        return np.where(code >= 0, head[np.maximum(code, 0)] if len(head) else 0.0, rare[rank[at]] if len(word) else 0.0)
+
+    chance = (of(w, automaton.n, c) + 0.5) / (automaton.total + 0.5 * (automaton.distinct + 1))
+    gain = np.where(n > 0, np.log10(1 + (n - DISCOUNT) / ((of(v, automaton.n, c) - of(v, automaton.kept, kept) + PRIOR) * chance)), 0.0)
+    uni = np.log10(c + 0.5) - automaton.log_total
+    text = lambda counts: np.repeat(np.arange(len(counts)), counts)
+    sums = lambda where, values: np.bincount(where, values, len(size))
+    own = text(words_of_text)
+    known = known + sums(own, (c > 0).astype(np.float64)[word_of]).astype(np.int64)
+    base += sums(own, uni[word_of])
+    score += sums(own, (uni + _log_back(c.astype(np.float64), kept))[word_of]) + sums(text(arcs_of_text), gain[arc_of])
+    ids = rows["ids"][int(walk)].values
+    return pa.table([ids, pa.array(size), pa.array(known), pa.array(base), pa.array(score)], ["id", *_SUMS])
+
+
+def score_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id_col, n_tokens, n_known, train_tokens, base_score, score."""
+    automaton, buckets = model.automaton, model.buckets
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # HEAD words and ARCS arcs at most
     kind = docs.schema[id_col].dataType.simpleString()
-    sums = ["n_tokens", "n_known", "base", "score"]
-    names = ["id", "v", "w", "n", "text"]
+    names = ["batch", "bucket", "kind", "blob", "ids"]
+
+    def walked(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([p[0] for p in parts])
+        codes = np.concatenate([p[1] for p in parts])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+        walk = _Walk(shared.value, buckets, codes, first)
+        asked = list(walk.asked())
+        rows, n = [(-1, 0, walk.blob()), *((k, 2, x) for k, x in asked)], len(asked)
+        lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (n + 1), pa.int32()), ids)
+        cols = [pa.array([uuid.uuid4().hex] * (n + 1)), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True))]
+        return pa.RecordBatch.from_arrays([*cols, lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for c in chunks(batch.column(1)):
-                size, known, base, score, text, v, w, n = shared.value.score(c)
-                ids = batch.column(0).slice(c.lo, c.hi - c.lo)
-                k = len(ids)
-                # a text's own sums ask for nothing: their keys only spread them
-                spread = signed(mix(np.arange(c.lo, c.hi, dtype=np.uint64) + np.uint64(len(c.buf)) * np.uint64(1 << 20)))
-                own = pa.StructArray.from_arrays([pa.array(size.astype(np.int64)), *map(pa.array, (known, base, score))], sums)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(spread), pa.array(np.full(k, _TEXT)), pa.array(np.zeros(k, np.int64)), own], names)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(v), pa.array(w), pa.array(n), pa.nulls(len(v), own.type)], names)
-
-    schema = f"id {kind}, v long, w long, n long, text struct<n_tokens: long, n_known: long, base: double, score: double>"
-    # one 64-bit key shuffles and sorts faster than two; what is asked for shows in n: 0 nothing, below 0 a word
-    asks = F.when(F.col("w") == _TEXT, 0).when(F.col("w") == _WORD, -F.col("n")).otherwise(F.col("n"))
-    key = F.xxhash64("v", "w").alias("key")
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema).select("id", key, asks.alias("n"), "text")
-    null = F.lit(None).cast("double")
-    answers = model.arcs.select("v", "w", "x", null.alias("kept")).unionByName(model.words.select(F.col("code").alias("v"), F.lit(_WORD).alias("w"), F.col("c").cast("double").alias("x"), "kept"))
-    joined = rows.join(answers.select(key, "x", "kept"), "key", "left").withColumns({"n": F.abs("n"), "word": F.col("n") < 0})
-    x, word = F.coalesce("x", F.lit(0.0)), F.col("word")
-    base = F.log10(x + 0.5) - F.lit(automaton.log_total)
-    gain = F.when(word, base + _log_back(x, F.coalesce("kept", F.lit(0.0)))).otherwise(F.log10(1 + x))
-    asked = {"n_tokens": F.lit(0), "n_known": F.when(word & F.col("x").isNotNull(), F.col("n")).otherwise(0), "base": F.when(word, F.col("n") * base).otherwise(0.0), "score": F.col("n") * gain}
-    out = joined.groupBy("id").agg(*(F.sum(F.coalesce(F.col(f"text.{k}"), asked[k])).alias(k) for k in sums))
-    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(automaton.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+                h, first = tokens(c)
+                parts.append((batch.column(0).slice(c.lo, c.hi - c.lo), shared.value.codes(h), first))
+                held += len(h)
+                if held >= BATCH:
+                    yield walked(parts)
+                    parts, held = [], 0
+        if parts:
+            yield walked(parts)
+
+    # written once, as the names of batches are drawn at random
+    rows = saved(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), f"batch string, bucket long, kind int, blob binary, ids array<{kind}>"), "walks")
+    asks = rows.where("kind = 2").select("batch", "bucket", "blob")
+    answers = asks.groupBy("bucket").cogroup(model.table.groupBy("bucket")).applyInArrow(_answered, "batch string, bucket long, kind int, blob binary")
+    every = rows.unionByName(answers, allowMissingColumns=True)
+    out = every.groupBy("batch").applyInArrow(lambda batch: _scored(shared.value, batch), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(automaton.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of score_rows, those of one id (or of no id) added up."""
+    sums = [F.sum(k).alias(k) for k in _SUMS]
+    return score_rows(docs, model, id_col, text_col).groupBy(id_col, "train_tokens").agg(*sums).select(id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -347,7 +619,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     texts = docs.where(fold != 1).select("text")
-    model = train(texts, word_counts(texts))
-    _release(spark)
-    out = score_texts(docs, model)
-    return out.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = score_rows(docs, train(texts, word_counts(texts)))
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTES_LOWER, chunks, hash_word, least_hashed, mix, powers, released, small_batches, split_words, table
+from .common import _BYTES_LOWER, chunks, hash_word, least_hashed, mix, powers, released, small_batches, split_words, table, word_hashes
 
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 100_000
@@ -61,10 +61,8 @@ def _features(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k, n in enumerate((0, *PREFIXES)):
             end = words.end if not n else np.minimum(words.start + n, words.end)
             h = mix((total[end] - total[words.start]) * inv[words.start])
-            if not n:
-                whole = h
             cols.append(((h ^ (h >> np.uint64(17))) + np.uint64(k * 0x5851)) % np.uint64(BUCKETS))
-    return np.stack(cols, 1).astype(np.int32) if len(words.start) else np.zeros((0, 1 + len(PREFIXES)), np.int32), whole, words.first
+    return np.stack(cols, 1).astype(np.int32) if len(words.start) else np.zeros((0, 1 + len(PREFIXES)), np.int32), word_hashes(chunk, words, lower=True), words.first
 
 
 def _language_table() -> tuple[np.ndarray, np.ndarray]:
