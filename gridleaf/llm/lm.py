@@ -9,8 +9,8 @@ left to right: the state is carried, a missing arc follows the failure arc and p
 weight, and log-probabilities accumulate. All texts of a batch take the step at once on arrays.
 
 The model has no bound on its size: it is a saved table of buckets, each with the sorted arcs
-and states that hash to it, packed (see pack). Arcs of a rare state share its bucket; those of
-the HEAD commonest words are spread. Tasks hold the HEAD words and the ARCS commonest arcs.
+and states that hash to it, packed (see pack). Arcs of a state share its bucket; those of
+the SPREAD commonest are dealt over several. Tasks hold the HEAD words and the ARCS commonest arcs.
 Texts are walked in batches of BATCH tokens: where the walk meets another word or arc it
 takes the failure arc, and asks the arc's bucket once for all texts of the batch; the answers
 come back to the batch, which adds the difference. The bounds decide where an answer comes
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, counted, lookup, mix, released, saved, signed, small_batches, split_words, table, word_hashes
 
-HEAD = 1 << 17
+HEAD = 1 << 19
 ARCS = 1 << 20
 LEAST = 1
 DISCOUNT = 0.5
@@ -47,6 +47,8 @@ FLUSH = 1 << 20
 BATCH = 1 << 20
 #: Training tokens a bucket of the model stands for.
 BUCKET = 1 << 21
+#: The arcs of this many commonest states are dealt over CLASSES buckets each; any other state has under N / SPREAD tokens.
+SPREAD, CLASSES = 1 << 12, 64
 _END = np.uint64(0x1)  # the end token's hash; words have mixed hashes
 #: A word's code is its place in the head, or its hash with this bit (a negative number).
 _RARE = np.uint64(1 << 63)
@@ -153,11 +155,13 @@ def _runs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _bucket(v: np.ndarray, w: np.ndarray | None, buckets: int) -> np.ndarray:
-    """The bucket of each arc: its state's where that is a rare word, else its own. Without w, of words."""
+    """The bucket of each arc: its state's, or for the commonest states one by a class of w. Without w, of words."""
+    key = v.view(np.uint64)
     with np.errstate(over="ignore"):
-        h = mix(v.view(np.uint64))
         if w is not None:
-            h = np.where(v < 0, h, mix(v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)))
+            spread = (v >= 0) & (v < SPREAD)
+            key = np.where(spread, key * np.uint64(CLASSES) + mix(w.view(np.uint64)) % np.uint64(CLASSES) + np.uint64(1 << 60), key)
+        h = mix(key * np.uint64(0x9E3779B97F4A7C15))
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -462,7 +466,8 @@ class _Walk:
         self.words, word = np.unique(codes[rare], return_inverse=True)
         by_word, self.word_bucket = self._by_bucket(_bucket(self.words, None, buckets))
         self.words = self.words[by_word]
-        self.arc_of, self.word_of = np.argsort(by)[which], np.argsort(by_word)[word]
+        # places of each text in rising order, as sums do not mind
+        self.arc_of, self.word_of = (np.sort(text[x] << 40 | y) & ((1 << 40) - 1) for x, y in ((arc, np.argsort(by)[which]), (rare, np.argsort(by_word)[word])))
         self.arcs_of_text, self.words_of_text = (np.bincount(text[x], minlength=len(cut)) for x in (arc, rare))
 
     @staticmethod
@@ -500,18 +505,19 @@ def _answered(asks: pa.Table, model: pa.Table) -> pa.Table:
     """(batch, bucket, kind 1, blob): counts of the arcs and words that each batch asks one bucket for."""
     none = np.zeros(0, np.int64)
     (v, w, n), (code, c, distinct) = (unpack(model["arcs"][0].as_py()), unpack(model["words"][0].as_py())) if len(model) else ([none] * 3, [none] * 3)
-    blobs = []
-    for blob in asks["blob"].to_pylist():
-        (av, aw), (word,) = _several(blob, 2)
-        at = lookup(code, word)
-        found = [np.where(at >= 0, x[at] if len(x) else 0, 0) for x in (c, distinct)]
-        blobs.append(pack(_find(v, w, n, av, aw)) + pack(*found))
-    kinds = pa.array(np.ones(len(blobs), np.int32))
-    return pa.table([asks["batch"], asks["bucket"], kinds, pa.array(blobs, pa.binary())], ["batch", "bucket", "kind", "blob"])
+    parts = [_several(blob, 2) for blob in asks["blob"].to_pylist()]
+    if not parts:
+        return pa.table([asks["batch"], asks["bucket"], pa.array([], pa.int32()), asks["blob"]], ["batch", "bucket", "kind", "blob"])
+    counts = _find(v, w, n, *(np.concatenate([p[0][k] for p in parts]) for k in (0, 1)))
+    at = lookup(code, np.concatenate([p[1][0] for p in parts]))
+    found = [np.where(at >= 0, x[at] if len(x) else 0, 0) for x in (c, distinct)]
+    arc, word = (np.cumsum([0] + [len(p[k][0]) for p in parts]) for k in (0, 1))
+    blobs = [pack(counts[arc[i] : arc[i + 1]]) + pack(*(x[word[i] : word[i + 1]] for x in found)) for i in range(len(parts))]
+    return pa.table([asks["batch"], asks["bucket"], pa.array(np.ones(len(blobs), np.int32)), pa.array(blobs, pa.binary())], ["batch", "bucket", "kind", "blob"])
 
 
 def _find(v: np.ndarray, w: np.ndarray, n: np.ndarray, av: np.ndarray, aw: np.ndarray) -> np.ndarray:
-    """n of each asked arc, 0 where there is none; both in the order of _order."""
+    """n of each asked arc, 0 where there is none; the model's arcs in the order of _order."""
     out = np.zeros(len(av), np.int64)
     plain, asked = (v >= 0) & (w >= 0), (av >= 0) & (aw >= 0)
     at = lookup(v[plain] << 32 | w[plain], av[asked] << 32 | aw[asked])
