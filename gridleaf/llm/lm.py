@@ -526,12 +526,10 @@ def _find(v: np.ndarray, w: np.ndarray, n: np.ndarray, av: np.ndarray, aw: np.nd
         v, w, n, av, aw = v[~plain], w[~plain], n[~plain], av[~asked], aw[~asked]
         both_v, both_w = np.concatenate([v, av]), np.concatenate([w, aw])
         order = np.lexsort((np.arange(len(both_v)) >= len(v), both_w, both_v))  # the model's arc before an asked one
-        x, y = both_v[order], both_w[order]
-        same = np.concatenate([[False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])])
+        at = _starts(both_v[order], both_w[order])
         count = np.concatenate([n, np.zeros(len(av), np.int64)])[order]
-        hit = np.flatnonzero(same)
-        got = np.zeros(len(both_v), np.int64)
-        got[order[hit]] = count[hit - 1]
+        got = np.empty(len(both_v), np.int64)
+        got[order] = np.repeat(count[at], np.diff(np.append(at, len(order))))
         out[~asked] = got[len(v) :]
     return out
 
@@ -557,7 +555,7 @@ def _scored(automaton: Automaton, rows: pa.Table) -> pa.Table:
         return np.where(code >= 0, head[np.maximum(code, 0)] if len(head) else 0.0, rare[rank[at]] if len(word) else 0.0)
 
     chance = (of(w, automaton.n, c) + 0.5) / (automaton.total + 0.5 * (automaton.distinct + 1))
-    gain = np.where(n > 0, np.log10(1 + (n - DISCOUNT) / ((of(v, automaton.n, c) - of(v, automaton.kept, kept) + PRIOR) * chance)), 0.0)
+    gain = np.log10(1 + np.maximum(n - DISCOUNT, 0) / ((of(v, automaton.n, c) - of(v, automaton.kept, kept) + PRIOR) * chance))
     uni = np.log10(c + 0.5) - automaton.log_total
     text = lambda counts: np.repeat(np.arange(len(counts)), counts)
     sums = lambda where, values: np.bincount(where, values, len(size))
