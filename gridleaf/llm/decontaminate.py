@@ -1,16 +1,20 @@
 """Operator 8: benchmark decontamination by latent semantic retrieval.
 
 Documents are read in blocks of BLOCK words; a passage is two blocks in a row, so passages
-overlap by half. Features are the benchmark's own words, less those in more than COMMON of
-its items: other words cannot change a product with an item.
+overlap by half. Words of the benchmark are features of their own, all other words of the
+corpus share HASHED features by hash, so the space's size does not grow with the corpus.
 1. Distributed randomised SVD. One pass over all passages counts document frequencies and
-   multiplies the passages' term matrix by its transpose and a random block; tasks add up
-   their share, Spark sums the rows by feature. With the item vectors this spans the latent
-   space; its basis is a singular value decomposition on the driver (benchmark-sized).
-2. Candidate search. Word tables of latent weights turn every passage into its products with
-   all items by block sums; passages with enough of an item and cosine COSINE or more are candidates.
-   An item longer than a passage is searched whole and in parts of a passage's length at most,
-   each with its own weight and cosine: a passage with enough of any part is a candidate.
+   multiplies the TF-IDF term matrix by its transpose and a random block of RANK columns
+   (words are weighed by their frequency in the chunk that is read, frequent ones by 0); tasks
+   add up their share, Spark sums the rows by feature. The singular value decomposition of the
+   sum gives each word a vector of unit length: words of like passages lie near each other.
+2. Candidate search. The similarity of a passage and an item is the share of the item's TF-IDF
+   weight that the passage holds, and where their latent vectors have cosine NEAR or more, plus
+   LATENT times the share of the item's latent vector: a replaced word still counts by the
+   company it keeps. The first comes from sparse postings, the second from word tables of RANK
+   columns; nothing is as large as items x words. Passages with similarity CONTAINED or more
+   and cosine COSINE or more are candidates. An item longer than a passage is searched whole
+   and in parts of a passage's length at most, each by itself.
 3. Checks. The longest common subsequence of item and passage, and the answer (the distinct
    words of the item's last sentence, or its last quarter), decide: a text contains an item if
    lcs_ratio >= EXACT, or lcs_ratio >= PARAPHRASE and answer_ratio >= ANSWER.
@@ -33,18 +37,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lookup, numbered, released, small_batches, split_words, table, without_rows, word_hashes
+from .common import Slots, chunks, lookup, numbered, released, small_batches, split_words, table, without_rows, word_hashes
 
 BLOCK = 24
-SKETCH = 32
-RANK = 512
+RANK = 32
+HASHED = 1 << 14
 COMMON = 0.1
+#: Words in more than this share of the passages (and OFTEN more) have no latent vector.
+FREQUENT, OFTEN = 0.02, 20
+LATENT = 0.5
+NEAR = 0.8
 COSINE = 0.25
 CONTAINED = 0.3
 EXACT = 0.85
 PARAPHRASE = 0.55
 ANSWER = 0.6
 MAX_ITEM_BYTES = 64_000_000
+#: Cells of the array of passages x items that is held at once.
+CELLS = 1 << 21
 
 _WORD = np.zeros(256, bool)
 _WORD[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -71,7 +81,7 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Benchmark:
-    """Items as word hashes, their features, and after fit() their latent vectors."""
+    """Items as word hashes, their postings, and after fit() their latent vectors."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids, self.items, self.answers = [], [], []
@@ -89,116 +99,156 @@ class Benchmark:
         for h in self.items:  # the rarest words of an item of common words only
             at = lookup(words, np.unique(h))
             keep[at[np.argsort(df[at], kind="stable")[:5]]] = True
-        self.words = words[keep]
+        self.words = Slots(words[keep].view(np.int64))
+        self.own = int(keep.sum())  # features of the benchmark's words; the hashed ones follow
+        self.size = self.own + HASHED
         # what is searched: all items, then the parts of those longer than a passage; of_item is the item of each
         self.parts, self.of_item = list(self.items), list(range(len(self.items)))
         for i, h in enumerate(self.items):
             if len(h) > 2 * BLOCK:
                 self.parts += np.array_split(h, -(-len(h) // (2 * BLOCK)))
                 self.of_item += [i] * (len(self.parts) - len(self.of_item))
-        self.random = np.random.default_rng(3).normal(size=(len(self.words), SKETCH)).astype(np.float32)
+        self.random = np.random.default_rng(3).normal(size=(self.size, RANK)).astype(np.float32)
 
-    def tf(self, h: np.ndarray) -> np.ndarray:
-        at = lookup(self.words, h)
-        return np.bincount(at[at >= 0], minlength=len(self.words)).astype(np.float64)
+    def features(self, h: np.ndarray) -> np.ndarray:
+        """Features of word hashes: the benchmark's words below own."""
+        at = self.words.find(h.view(np.int64))
+        return np.where(at >= 0, at, self.own + (h >> np.uint64(33)).astype(np.int64) % HASHED).astype(np.uint16 if self.size < 1 << 16 else np.int32)
 
     def fit(self, passages: int, df: np.ndarray, sketch: np.ndarray) -> None:
         """df and sketch by feature, from all passages."""
-        idf = np.log((2.0 + passages) / (1.0 + df))
-        items = np.array([self.tf(h) * idf for h in self.parts]).reshape(len(self.parts), len(self.words))
-        range_ = idf[:, None] * sketch
-        range_ = range_ / np.maximum(np.linalg.norm(range_, axis=0), 1e-12)
-        unit = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-        # items first: their span is what the search must keep; then the corpus's strongest directions
-        _, s, vt = np.linalg.svd(np.vstack([unit, range_.T]), full_matrices=False)
-        vt = vt[: min(RANK + len(self.parts) - len(self.items), int((s > 1e-9).sum()))]  # parts take no item's rank
-        latent = (items @ vt.T).astype(np.float32)
-        self.basis = (idf[:, None] * vt.T).astype(np.float32)  # latent vector that a word adds
-        self.norm = np.linalg.norm(latent, axis=1)
-        self.table = self.basis @ latent.T / np.maximum(self.norm**2, 1e-12)  # share of each item or part that a word adds
-
-
-def _blocks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.idf = np.log((2.0 + passages) / (1.0 + df))
+        u, s, _ = np.linalg.svd(sketch, full_matrices=False)
+        vectors = u * s
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        vectors -= vectors[df > 0].mean(0) if (df > 0).any() else 0.0
+        rare = (df > 0) & (df <= FREQUENT * passages + OFTEN)
+        self.basis = (np.where(rare, self.idf, 0.0)[:, None] * vectors).astype(np.float32)  # latent vector that a word adds
+        feature, part, weight, latent = [], [], [], []
+        self.norm = np.zeros(len(self.parts))
+        for k, h in enumerate(self.parts):
+            f = self.features(h).astype(np.int64)
+            latent.append(self.basis[f].sum(0))
+            words, tf = np.unique(f[f < self.own], return_counts=True)
+            total = float(((tf * self.idf[words]) ** 2).sum())
+            self.norm[k] = np.sqrt(total)
+            feature.append(words)
+            part.append(np.full(len(words), k))
+            weight.append(tf * self.idf[words] ** 2 / max(total, 1e-12))
+        # postings: feature f adds weight[j] to part[j] for j in first[f]:first[f + 1]
+        feature = np.concatenate(feature)
+        order = np.argsort(feature, kind="stable")
+        self.part, self.weight = np.concatenate(part)[order], np.concatenate(weight)[order].astype(np.float32)
+        self.first = np.searchsorted(feature[order], np.arange(self.own + 1))
+        latent = np.array(latent).reshape(len(self.parts), -1)
+        self.size_latent = np.maximum(np.linalg.norm(latent, axis=1), 1e-6)
+        self.latent = (latent / self.size_latent[:, None]).T.copy()
+
+
+def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block of each word, text of each block, first block of each text)."""
     n = np.diff(first)
     blocks = -(-n // BLOCK)
     base = np.concatenate([[0], np.cumsum(blocks)])
     text = np.repeat(np.arange(len(n)), n)
-    return base[text] + (np.arange(len(h)) - first[text]) // BLOCK, np.repeat(np.arange(len(n)), blocks), base
+    return base[text] + (np.arange(int(first[-1])) - first[text]) // BLOCK, np.repeat(np.arange(len(n)), blocks), base
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
 def _sketch(docs: DataFrame, bench: Benchmark) -> tuple[int, np.ndarray, np.ndarray]:
     """(passages, document frequencies, transpose @ (terms @ random)) over all passages."""
-    shared = docs.sparkSession.sparkContext.broadcast((bench.words, bench.random))
-    n = len(bench.words)
-    cols = [f"z{i}" for i in range(SKETCH)]
+    shared = docs.sparkSession.sparkContext.broadcast(bench)
+    n = bench.size
+    cols = [f"z{i}" for i in range(RANK)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, random = shared.value
-        df, z, passages = np.zeros(n, np.int64), np.zeros((n, SKETCH)), 0
+        bench = shared.value
+        df, z, passages = np.zeros(n, np.int64), np.zeros((n, RANK), np.float32), 0
         for batch in batches:
             for c in chunks(batch.column(0)):
                 h, first = _words(c)
-                at = lookup(words, h)
-                hit = np.flatnonzero(at >= 0)
-                block, _, base = _blocks(h, first)
+                if not len(h):
+                    continue
+                f = bench.features(h)
+                block, _, base = _blocks(first)
                 # passages without overlap: two blocks each
                 size = np.diff(base)
                 start = np.concatenate([[0], np.cumsum(-(-size // 2))])
-                text = np.repeat(np.arange(len(size)), np.diff(first))[hit]
-                passage = start[text] + (block[hit] - base[text]) // 2
-                passages += int(start[-1])
-                if not len(hit):
-                    continue
-                word = at[hit]
-                cut = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-                y = np.add.reduceat(random[word], cut, axis=0)
-                which = np.cumsum(np.concatenate([[0], passage[1:] != passage[:-1]]))
-                order = np.argsort(word, kind="stable")
-                w = word[order]
-                cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                z[w[cut]] += np.add.reduceat(y[which[order]], cut, axis=0)
-                pair = np.unique(word * (int(start[-1]) + 1) + passage)
-                df += np.bincount(pair // (int(start[-1]) + 1), minlength=n)
+                text = np.repeat(np.arange(len(size)), np.diff(first))
+                passage = start[text] + (block - base[text]) // 2
+                total = int(start[-1])
+                passages += total
+                order = np.argsort(f, kind="stable")
+                g, of = f[order].astype(np.int64), passage[order]
+                cut = _starts(g)
+                new = np.ones(len(g), np.int64)
+                new[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+                seen = np.add.reduceat(new, cut)
+                df[g[cut]] += seen
+                damp = np.zeros(n, np.float32)
+                damp[g[cut]] = np.where(seen > FREQUENT * total + OFTEN, 0.0, np.log((1.0 + total) / seen))
+                y = np.add.reduceat(bench.random[f] * damp[f][:, None], _starts(passage), axis=0)
+                z[g[cut]] += np.add.reduceat(y[of], cut, axis=0) * damp[g[cut]][:, None]
         seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([passages], pa.int64())] + [pa.array([0.0])] * SKETCH, ["f", "df", *cols])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df[seen])] + [pa.array(np.ascontiguousarray(z[seen, i])) for i in range(SKETCH)], ["f", "df", *cols])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([passages], pa.int64())] + [pa.array([0.0], pa.float32())] * RANK, ["f", "df", *cols])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df[seen])] + [pa.array(np.ascontiguousarray(z[seen, i])) for i in range(RANK)], ["f", "df", *cols])
 
-    rows = docs.select("text").mapInArrow(released(run), "f int, df long, " + ", ".join(f"{c} double" for c in cols))
+    rows = docs.select("text").mapInArrow(released(run), "f int, df long, " + ", ".join(f"{c} float" for c in cols))
     got = rows.groupBy("f").agg(F.sum("df").alias("df"), *(F.sum(c).alias(c) for c in cols)).toArrow()
     f, d = got["f"].to_numpy(), got["df"].to_numpy()
-    df, z = np.zeros(n), np.zeros((n, SKETCH))
+    df, z = np.zeros(n), np.zeros((n, RANK))
     own = f >= 0
     df[f[own]] = d[own]
     z[f[own]] = np.stack([got[c].to_numpy() for c in cols], 1)[own]
     return int(d[~own].sum()), df, z
 
 
+def _candidates(bench: Benchmark, f: np.ndarray, block: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(first block of a passage, part, similarity) where the similarity is CONTAINED or more."""
+    every = len(text_of)
+    cut = np.searchsorted(block, np.arange(every + 1))  # first word of each block
+    vectors = np.add.reduceat(bench.basis[f], cut[:-1], axis=0)
+    hit = np.flatnonzero(f < bench.own)
+    wide = max(1, CELLS // len(bench.parts))
+    for lo in range(0, every, wide):
+        hi = min(lo + wide + 1, every)  # a passage needs the next block too
+        a, b = np.searchsorted(hit, (cut[lo], cut[hi]))
+        word, of = f[hit[a:b]].astype(np.int64), block[hit[a:b]] - lo
+        n = bench.first[word + 1] - bench.first[word]
+        at = np.repeat(bench.first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        share = np.bincount(np.repeat(of, n) * len(bench.parts) + bench.part[at], bench.weight[at], (hi - lo) * len(bench.parts)).reshape(hi - lo, -1).astype(np.float32)
+        # a passage: a block and the next one of its text
+        nxt = np.flatnonzero(text_of[lo + 1 : hi] == text_of[lo : hi - 1])
+        both, mine = share.copy(), vectors[lo:hi].copy()
+        both[nxt] += share[nxt + 1]
+        mine[nxt] += vectors[lo:hi][nxt + 1]
+        size = np.maximum(np.linalg.norm(mine, axis=1), 1e-6)
+        near = (mine / size[:, None]) @ bench.latent
+        p, part = np.nonzero(near >= NEAR)
+        both[p, part] += LATENT * near[p, part] * size[p] / bench.size_latent[part]
+        for p, part in zip(*np.nonzero(both[: min(wide, every - lo)] >= CONTAINED), strict=True):
+            yield lo + int(p), int(part), float(both[p, part])
+
+
 def _search(bench: Benchmark, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(text, item, cosine, lcs_ratio, answer_ratio) of the best passage of each candidate pair."""
-    at = lookup(bench.words, h)
-    hit = np.flatnonzero(at >= 0)
-    if not len(hit):
+    if not len(h):
         return []
-    block, text_of, _ = _blocks(h, first)
-    blocks, word = block[hit], at[hit]
-    cut = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
-    some = blocks[cut]  # blocks with a feature, in order
-    share = np.add.reduceat(bench.table[word], cut, axis=0)
-    # a passage: a block and the next one of its text
-    nxt = np.flatnonzero((some[1:] == some[:-1] + 1) & (text_of[some[1:]] == text_of[some[:-1]]))
-    both = share.copy()
-    both[nxt] += share[nxt + 1]
+    f = bench.features(h)
+    block, text_of, _ = _blocks(first)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     checked: dict[tuple[int, int], tuple[float, float]] = {}  # by first word of the passage and item
-    for p, part in zip(*np.nonzero(both >= CONTAINED), strict=True):
-        i, item = int(some[p]), bench.of_item[part]
-        text = int(text_of[i])
+    for i, part, similarity in _candidates(bench, f, block, text_of):
+        item, text = bench.of_item[part], int(text_of[i])
         lo = int(np.searchsorted(block, i))
         hi = min(lo + 2 * BLOCK, int(first[text + 1]))
-        mine = at[lo:hi]
-        vector = bench.basis[mine[mine >= 0]].sum(0)
-        cosine = float(both[p, part] * bench.norm[part] / max(np.linalg.norm(vector), 1e-12))
+        words, tf = np.unique(f[lo:hi][f[lo:hi] < bench.own], return_counts=True)
+        size = float(np.sqrt(((tf * bench.idf[words]) ** 2).sum()))
+        cosine = min(1.0, similarity * float(bench.norm[part]) / max(size, 1e-12))
         if cosine < COSINE:
             continue
         if (lo, item) not in checked:

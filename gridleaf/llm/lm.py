@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, counted, lookup, mix, released, saved, signed, small_batches, split_words, table, word_hashes
+from .common import Slots, chunks, counted, lookup, mix, released, saved, signed, small_batches, split_words, table, word_hashes
 
 HEAD = 1 << 19
 ARCS = 1 << 20
@@ -204,32 +204,6 @@ def _log_back(c: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return np.log10((c - kept + PRIOR) / (c + PRIOR))
 
 
-class Slots:
-    """Places of 64-bit keys: a table by bits of their product, and sorted keys whose slot another one took."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift = np.uint64(64 - max(4, len(keys).bit_length() + 1))
-        slot, every = self._slot(keys), np.arange(len(keys), dtype=np.int32)
-        self.place = np.full(1 << (64 - int(self.shift)), -1, np.int32)
-        self.place[slot] = every
-        rest = np.flatnonzero(self.place[slot] != every)
-        self.rest = rest[np.argsort(keys[rest])]
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        out = self.place[self._slot(keys)].astype(np.int64)
-        taken = np.flatnonzero(out >= 0)
-        other = taken[self.keys[out[taken]] != keys[taken]]  # a key outside the table leaves its slot to others
-        at = lookup(self.keys[self.rest], keys[other])
-        out[other] = np.where(at >= 0, self.rest[at], -1) if len(self.rest) else -1
-        return out
-
-
 class Automaton:
     """Head words with their failure weights, and the commonest arcs with what each adds to failing."""
 
