@@ -163,9 +163,9 @@ def test_language_sample_is_the_least_hashed(spark, monkeypatch):
 def test_latent_space_finds_what_shared_words_do_not(spark, monkeypatch):
     """The rare words of the item give way to others of the same passages; what is left are words of many items."""
     r = random.Random(2)
-    topics = [([f"k{t}x{i}" for i in range(16)], [f"s{t}x{i}" for i in range(16)]) for t in range(12)]
+    topics = [([f"k{t}x{i}" for i in range(16)], [f"s{t}x{i}" for i in range(16)]) for t in range(30)]
     common_words = [f"c{i}" for i in range(24)]
-    corpus = [" ".join(r.sample(a + b, 20) + r.sample(common_words, 20)) for a, b in topics for _ in range(60)]
+    corpus = [" ".join(r.sample(a + b, 20) + r.sample(common_words, 20)) for a, b in topics for _ in range(30)]
 
     def item(t, rare):
         out = []
@@ -173,14 +173,14 @@ def test_latent_space_finds_what_shared_words_do_not(spark, monkeypatch):
             out += [common_words[(i * 5 + t) % 24], rare[i]]
         return " ".join(out[:20]) + ". " + " ".join(common_words[(t + j) % 24] for j in range(14))
 
-    bench = spark.createDataFrame([(t, item(t, topics[t][0])) for t in range(12)], "item_id long, text string")
-    swapped = [item(t, topics[t][1]) for t in range(12)]
+    bench = spark.createDataFrame([(t, item(t, topics[t][0])) for t in range(30)], "item_id long, text string")
+    swapped = [item(t, topics[t][1]) for t in range(30)]
     docs = frame(spark, enumerate(corpus + swapped)).repartition(3)
-    want = {(len(corpus) + t, t) for t in range(12)}
+    want = {(len(corpus) + t, t) for t in range(30)}
     found = lambda: {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
-    assert len(found() & want) >= 11
+    assert len(found() & want) >= 27
     monkeypatch.setattr(decontaminate, "LATENT", 0.0)
-    assert len(found() & want) <= 1
+    assert len(found() & want) <= 2
 
 
 def test_paraphrases_are_found_as_by_brute_force(spark):
