@@ -47,7 +47,7 @@ COMMON = 0.1
 FREQUENT, OFTEN = 0.02, 20
 LATENT = 0.5
 NEAR = 0.8
-COSINE = 0.25
+COSINE = 0.1
 CONTAINED = 0.3
 EXACT = 0.85
 PARAPHRASE = 0.55
@@ -84,7 +84,7 @@ class Benchmark:
     """Items as word hashes, their postings, and after fit() their latent vectors."""
 
     def __init__(self, ids: list, texts: list[str | None]):
-        self.ids, self.items, self.answers = [], [], []
+        self.ids, self.items, self.answers, self.share = [], [], [], LATENT
         for i, text in zip(ids, texts, strict=True):
             parts = [s for s in (text or "").replace("\n", " ").replace("?", ".").replace("!", ".").split(".") if s.strip()]
             (h,) = [_words(c)[0] for c in chunks(pa.array([text or ""], pa.string()))]
@@ -229,7 +229,7 @@ def _candidates(bench: Benchmark, f: np.ndarray, block: np.ndarray, text_of: np.
         size = np.maximum(np.linalg.norm(mine, axis=1), 1e-6)
         near = (mine / size[:, None]) @ bench.latent
         p, part = np.nonzero(near >= NEAR)
-        both[p, part] += LATENT * near[p, part] * size[p] / bench.size_latent[part]
+        both[p, part] += bench.share * near[p, part] * size[p] / bench.size_latent[part]
         for p, part in zip(*np.nonzero(both[: min(wide, every - lo)] >= CONTAINED), strict=True):
             yield lo + int(p), int(part), float(both[p, part])
 
