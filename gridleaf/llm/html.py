@@ -5,9 +5,21 @@ class and contents. Spark counts, per host, the pages in which each subtree occu
 of partial aggregations, so a host with a third of all pages is no hot task). Subtrees that
 recur on TEMPLATE_PAGES pages and TEMPLATE_SHARE of the host's pages are its template: at
 most (elements a page) / TEMPLATE_SHARE of them per host. The second pass deletes template
-subtrees, and elements that their tag, role or class marks as no article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), and reads
-what is left of the article in page order.
+subtrees, and reads what is left of the article in page order.
+
+Menus, adverts and footers often differ in their words from page to page and share only their
+form. So every element beside the page's main line (from the root down to the element that
+no child holds more than half the text of) is also counted per host by its slot: the path of
+tags and classes above it, and its shape, which is the hash of its tag, class and the set of
+its children's shapes, without texts. A slot that recurs like a template, and holds
+SLOT_SHARE of a page's text at most on average, is one too, at levels that the main line
+passes on LEVEL_SHARE of the host's pages that have them (so paragraphs beside a long one stay).
+Elements that hold an h1, and those inside an article or main, are no slots.
+
+What no count decides (hosts of few pages, elements on few pages) falls back on names: the
+article is what is inside ``article`` or ``main``, and elements that their tag, role or class
+marks as no article go (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments). ``named=False`` turns this off, so that templates alone decide.
 
 Inside an ``article`` (or ``main``) a subtree must recur on INSIDE_SHARE of the host's pages
 and in TEMPLATE_PAGES different articles, unless it is mostly links: copies of one article
@@ -39,9 +51,12 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.3
 INSIDE_SHARE = 0.5
 AROUND = 3
+SLOT_SHARE = 0.25
+LEVEL_SHARE = 0.8
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A quote opens a value only after the equals sign; elsewhere in a tag it is a character like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?][^>]*+>""", re.S)
+_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 
 #: Elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +66,10 @@ NOT_TEXT = frozenset("head script style noscript template nav footer aside form
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody table dl figcaption article main body html".split())
 #: Parts of an article that recur by themselves without being template.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody figcaption".split())
-#: Templates inside articles are other keys than those outside.
-_INSIDE = 0x2545F4914F6CDD1D
+#: Elements whose strings are never shown.
+UNSEEN = frozenset("head script style noscript template title".split())
+#: Templates inside articles, slots and levels are other keys than templates outside.
+_INSIDE, _SLOT, _LEVEL = 0x2545F4914F6CDD1D, 0x1B03738712FAD5C9, 0x3C6EF372FE94F82A
 #: Words of a class, id or role that mark an element as no article.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -73,12 +90,12 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "holds", "links", "parent", "size", "tag")
+    __slots__ = ("attrs", "children", "hash", "holds", "links", "parent", "seen", "shape", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node | str] = []
-        self.hash = self.size = self.links = 0
+        self.hash = self.size = self.links = self.seen = self.shape = 0
         self.holds = False
 
 
@@ -152,7 +169,7 @@ def attributes(node: Node) -> dict[str, str]:
 
 
 def digest(node: Node) -> None:
-    """Sets hash, size (code points of text) and links (those inside anchors) of all subtrees."""
+    """Sets hash, size (code points of text), seen (of shown text), links (those inside anchors) and shape of all subtrees."""
     order, stack = [], [node]
     while stack:
         n = stack.pop()
@@ -160,17 +177,63 @@ def digest(node: Node) -> None:
         stack += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
         parts = [n.tag, attributes(n).get("class", "")]
-        size = links = 0
+        size = links = seen = 0
+        shapes: set[str] = set()
         for c in n.children:
             if isinstance(c, Node):
                 parts.append(str(c.hash))
-                size, links = size + c.size, links + c.links
+                size, links, seen = size + c.size, links + c.links, seen + c.seen
+                if c.seen:  # inline marks and empty elements are no part of the form
+                    shapes.add("" if c.tag in INLINE and c.tag != "a" else str(c.shape))
             elif words := c.split():
                 text = " ".join(words)
                 parts.append(text)
-                size += len(text)
-        n.size, n.links = size, size if n.tag == "a" else links
-        n.hash = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+                size, seen = size + len(text), seen + len(text)
+                shapes.add("")
+        n.size, n.links, n.seen = size, size if n.tag == "a" else links, 0 if n.tag in UNSEEN else seen
+        n.hash = _hash(parts)
+        n.shape = _hash([*parts[:2], *sorted(shapes)])
+
+
+def _hash(parts: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _titled(node: Node) -> bool:
+    """True for headings and other parts of an article, and for what holds the page's title."""
+    if node.tag in PARTS:
+        return True
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag == "h1":
+            return True
+        stack += [c for c in n.children if isinstance(c, Node)]
+    return False
+
+
+def _levels(root: Node) -> Iterator[tuple[int, list[tuple[Node, int]], bool]]:
+    """(key of the level, its other elements with their slot keys, whether the main line goes on) down the main line."""
+    path = [""]
+    n = root
+    while n.seen:
+        parts = [c for c in n.children if isinstance(c, Node) and c.seen]
+        main = max(parts, key=lambda c: c.seen, default=None)
+        goes = main is not None and main.seen * 2 > n.seen and main.tag not in INLINE
+        yield _hash(path) ^ _LEVEL, [(c, _hash([*path, str(c.shape)]) ^ _SLOT) for c in parts if c is not main and c.tag not in INLINE and not _titled(c)], goes
+        if not goes:
+            return
+        n = main
+        path = [str(_hash(path)), n.tag, attributes(n).get("class", "")]
+
+
+def _slots(root: Node, templates: set[int] | frozenset[int]) -> set[int]:
+    """ids of the elements beside the main line whose slot and level are templates."""
+    out: set[int] = set()
+    for level, others, goes in _levels(root):
+        if goes and level in templates:
+            out.update(id(c) for c, slot in others if slot in templates)
+    return out
 
 
 def _hidden(node: Node) -> bool:
@@ -281,7 +344,7 @@ def _surroundings(article: Node) -> Iterator[tuple[int, int]]:
         after.append(longest([*after[-1], t]))
     for n, a, b in spans:
         if around := longest(before[a] + after[len(texts) - b]):
-            yield n.hash ^ _INSIDE, xxhash.xxh3_64_intdigest("\x1f".join(around).encode("utf-8", "surrogatepass")) - (1 << 63)
+            yield n.hash ^ _INSIDE, _hash(around)
 
 
 def candidates(root: Node) -> set[tuple[int, int | None]]:
@@ -302,9 +365,21 @@ def candidates(root: Node) -> set[tuple[int, int | None]]:
     return out
 
 
-def main_text(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> str:
-    """Text of the article without marked elements and template subtrees."""
-    roots = article_roots(root)
+def counted_slots(root: Node) -> dict[int, float]:
+    """Share of the page's text in each slot beside its main line, and for each level whether the line goes on (1 or 0)."""
+    out: dict[int, float] = {}
+    for level, others, goes in _levels(root):
+        out[level] = float(goes)
+        if goes:
+            for c, slot in others:
+                out[slot] = out.get(slot, 0.0) + c.seen / root.seen
+    return out
+
+
+def main_text(root: Node, templates: set[int] | frozenset[int] = frozenset(), named: bool = True) -> str:
+    """Text of the article without template subtrees and marked elements; without named, of the page without templates."""
+    roots = article_roots(root) if named else [root]
+    slots = _slots(root, templates) if templates else set()
     out: list[str] = []
     for top in roots:
         inside = top is not root
@@ -315,12 +390,14 @@ def main_text(root: Node, templates: set[int] | frozenset[int] = frozenset()) ->
                 out.append(n)
                 continue
             if n is not top:
-                if is_marked(n, inside) or inside and n.tag == "article":  # an article in an article is a reader's comment
-                    continue
-                if n.hash in templates and _deletable(n, inside):
+                if id(n) in slots and not inside or n.hash in templates and _deletable(n, inside):
                     continue
                 if inside and n.tag not in PARTS and n.hash ^ _INSIDE in templates:
                     continue
+                if not named and n.tag in UNSEEN:
+                    continue
+                if named and (is_marked(n, inside) or inside and n.tag == "article"):  # an article in an article is a reader's comment
+                    continue
             if n.tag not in INLINE:
                 out.append(" ")
                 stack.append(" ")
@@ -340,21 +417,23 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, arounds = [], [], []
+            hosts, hashes, arounds, shares = [], [], [], []
             for source, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(source or "")
                 digest(root)
-                got = candidates(root)
-                hosts += [host] * len(got)
-                hashes += [h for h, _ in got]
-                arounds += [a for _, a in got]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(arounds, pa.int64())], ["host", "hash", "around"])
+                got, slots = candidates(root), counted_slots(root)
+                hosts += [host] * (len(got) + len(slots))
+                hashes += [h for h, _ in got] + list(slots)
+                arounds += [a for _, a in got] + [None] * len(slots)
+                shares += [None] * len(got) + list(slots.values())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(arounds, pa.int64()), pa.array(shares, pa.float64())], ["host", "hash", "around", "share"])
 
     total = pages.groupBy("host").count().withColumnRenamed("count", "pages").where(F.col("pages") >= TEMPLATE_PAGES)
-    found = pages.select("html", "host").mapInArrow(released(run), "host string, hash long, around long").groupBy("host", "hash", "around").agg(F.count("*").alias("n"))
-    found = found.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("around").alias("articles")).where(F.col("n") >= TEMPLATE_PAGES)
-    inside = F.col("articles") > 0
-    found = found.where(~inside | (F.col("articles") >= TEMPLATE_PAGES))
+    found = pages.select("html", "host").mapInArrow(released(run), "host string, hash long, around long, share double").groupBy("host", "hash", "around").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
+    found = found.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("around").alias("articles"), F.sum("share").alias("share")).where(F.col("n") >= TEMPLATE_PAGES)
+    inside, mean = F.col("articles") > 0, F.col("share") / F.col("n")
+    # a slot holds little text, a level is passed almost always: their means can't be taken for one another in between
+    found = found.where((~inside | (F.col("articles") >= TEMPLATE_PAGES)) & (mean.isNull() | (mean <= SLOT_SHARE) & (mean > 0) | (mean >= LEVEL_SHARE)))
     found = found.join(total, "host").where(F.col("n") >= F.col("pages") * F.when(inside, INSIDE_SHARE).otherwise(TEMPLATE_SHARE))
     return found.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 

@@ -221,3 +221,56 @@ def test_decontamination_rows_and_limits(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 10)
     with pytest.raises(ValueError, match="in parts"):
         decontaminate.contaminated(frame(spark, [(1, item)]), bench)
+
+
+# ---------------------------------------------------------------- html
+
+
+def text_of(source, templates=frozenset(), named=True):
+    root = html.parse(source)
+    html.digest(root)
+    return html.main_text(root, templates, named)
+
+
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    assert text_of("<p class=o'brien>Hello it's me</p><p>next</p>") == "Hello it's me next"
+    assert text_of('<p title=5">Hello</p>') == "Hello"
+    assert text_of("""<p title="a>b" data-x='c>d'>x</p> it's "<b>so</b>\"""") == "x it's \"so\""
+    assert text_of("<p a = 'x>y' b>z</p>") == "z"
+
+
+def plain(source):
+    """The page without its classes, and with div in place of the tags that name their part."""
+    source = re.sub(r"<(/?)(?:nav|footer|article|header|aside|main)\b", r"<\1div", source)
+    return re.sub(r' class="[^"]*"', "", source)
+
+
+def test_templates_alone_find_the_article(spark):
+    """Menus, adverts and footers with other words on every page, no class, no article tag; hosts of many pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", html.host_of())
+    many = pages.join(pages.groupBy("host").count().where("count >= 8"), "host")
+    bare = {r.page_id: plain(r.html) for r in many.collect()}
+    rows = spark.createDataFrame([(r.page_id, bare[r.page_id], r.host) for r in many.collect()], "page_id long, html string, host string")
+    templates = {r.host: set(r.templates) for r in html.site_templates(rows).collect()}
+    want = {r.page_id: r.text for r in html.extract_main_text(pages.drop("host")).collect()}
+    good = changed = 0
+    for r in rows.collect():
+        got = text_of(r.html, templates.get(r.host, set()), named=False)
+        good += got == want[r.page_id]
+        changed += got != text_of(r.html, named=False)
+    assert len(bare) >= 100 and changed >= 0.9 * len(bare) and good >= 0.9 * len(bare)
+
+
+def test_slots_spare_titles_and_paragraphs(spark):
+    """The heading beside a long body, and short paragraphs beside long ones, are no slots; a varied menu is."""
+    r = random.Random(4)
+
+    def page(i):
+        menu = "".join(f"<div><a href=/{r.random()}>{words(r, 2, 9999)}</a></div>" for _ in range(r.randint(3, 7)))
+        body = f"<div><p>{words(r, 8, 9999)}</p><p>{words(r, 200 if i % 5 == 0 else 60, 9999)}</p><p>{words(r, 70, 9999)}</p></div>"
+        return f"<body><div>{menu}</div><div><h1>{words(r, 5, 9999)}</h1>{body}</div></body>"
+
+    pages = [(i, "http://a.example/", page(i)) for i in range(20)]
+    got = {x.page_id: x.text for x in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, source in pages:
+        assert got[i] == " ".join(re.sub(r"<[^>]*>", " ", source[source.index("<h1>") :]).split())
