@@ -70,6 +70,20 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
+#: A key on more than one in HOT_SHARE of all rows is hot, so at most HOT_SHARE keys are: their part of a table may be broadcast.
+HOT_SHARE = 2000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows and the row of table for their keys; keys in hot, HOT_SHARE at most, meet by broadcast and leave no large task.
+
+    rows and table are read twice, so both should be saved tables.
+    """
+    hot = F.broadcast(hot.select(*keys))
+    few = F.broadcast(table.join(hot, keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs, saved, with a number of its own for each row in front, and that column's name: ids may repeat or be null.
 
@@ -318,29 +332,35 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(a, b, m) of edges (a, b): m is the least b of each a. Hubs, of which there are HOT_SHARE at most, meet theirs by broadcast."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") * HOT_SHARE > total
+    hubs = F.broadcast(least.where(hub).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    known = edges.join(hubs, edges["a"] == F.col("hub"), "left")
+    rest = known.where("hub is null").select("a", "b").join(least.where(~hub).select("a", "m"), "a")
+    return known.where("hub is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, root), root the least node.
 
     Alternating large-star and small-star rounds; each round is written to the shared
     folder, and rounds stop when no edge changes. A star's centre may hold a third of
-    all nodes: both steps are joins and sums over (node, neighbour) rows, never lists.
+    all nodes: both steps are joins and sums over (node, neighbour) rows, never lists, and
+    hubs meet their sums by broadcast (see _with_least).
     """
     cur = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    last = None
+    last = (cur.count(), None)
     while True:
         # large star: each larger neighbour of u links to the least of u and its neighbours
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        cur = both.join(least, both["a"] == least["u"]).where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _with_least(both, 2 * last[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = saved(large.distinct(), name)
         # small star: u and its smaller neighbours link to the least of them
-        least = cur.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        cur = (
-            cur.join(least, cur["a"] == least["u"])
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b").where("a <> b").distinct()
-        )
-        cur = saved(cur, name)
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        small = _with_least(large, last[0]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
+        cur = saved(small.select("e.a", "e.b").where("a <> b").distinct(), name)
+        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now

@@ -20,10 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_id, numbered, saved, table, without_rows
+from .common import HOT_SHARE, hot_join, least_id, numbered, saved, table, without_rows
 
-#: A digest on more than 1 / HOT_SHARE of all rows is hot, so at most HOT_SHARE digests are.
-HOT_SHARE = 2000
 SALTS = 64
 
 
@@ -37,8 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = saved(rows.select("id", "digest"), "digests")
     total = ids.count()
     hot = ids.groupBy("digest").count().where(F.col("count") * HOT_SHARE > max(total, HOT_SHARE)).select("digest", F.lit(True).alias("hot"))
-    hot = F.broadcast(saved(hot, "hot"))  # at most HOT_SHARE rows by construction
-    salted = rows.join(hot, "digest", "left").select("id", "norm", "digest", F.coalesce("hot", F.lit(False)).alias("hot"))
+    hot = saved(hot, "hot")  # at most HOT_SHARE rows by construction
+    salted = rows.join(F.broadcast(hot), "digest", "left").select("id", "norm", "digest", F.coalesce("hot", F.lit(False)).alias("hot"))
     salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     merged = salted.groupBy("digest", "salt", "hot", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     # the text itself goes on only where salts must still meet
@@ -47,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = merged.where("hot").groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).drop("norm")
     classes = saved(whole.unionByName(joined), "classes")
     several = saved(classes.groupBy("digest").count().where("count > 1").select("digest"), "several")
-    found = ids.join(classes, "digest")
+    found = hot_join(ids, classes, ["digest"], hot)
     if not several.isEmpty():  # one digest of two texts: those rows find their class by the whole text
         full = rows.join(several, "digest", "left_semi")
         by_text = full.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))

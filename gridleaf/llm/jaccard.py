@@ -4,9 +4,10 @@ Bands and rows are chosen for a target recall at the threshold. A first pass giv
 document a digest of its set of n-grams (five words) and its band hashes. Documents with
 equal sets are copies: one representative goes on. Band hashes are shuffled, pre-aggregated
 to the least document of each bucket, and joined back to star edges, never to pairs.
-Components of stars are the units of verification: a component of up to BLOCK documents is
-one block; a larger one is cut into blocks that meet two by two, so every pair of different
-sets in it is compared exactly on its full n-gram set, by counts of common grams in numpy.
+Components of stars are the units of verification: their sets are put in bins by size, as
+similar sets are of like size, and a bin of more than BLOCK is cut into blocks. Blocks of a bin
+and of the next one meet two by two, so every pair of different sets that can be similar is
+compared exactly on its full n-gram set, by counts of common grams in numpy.
 A block returns, for each document, its number of links and a forest of its links; no pair
 becomes a row. Components of the forests are the classes.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, connected, least_id, maybe_broadcast, mix, numbered, released, saved, signed, small_batches, span_hash, split_words, splitmix, table, without_rows, word_hashes
+from .common import HOT_SHARE, chunks, connected, hot_join, least_id, maybe_broadcast, mix, numbered, released, saved, signed, small_batches, span_hash, split_words, splitmix, table, without_rows, word_hashes
 
 N = 5
 THRESHOLD = 0.8
@@ -185,10 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = each.join(buckets, ["band", "mark"]).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     comps = connected(stars, "candidates")
     comps = comps.union(comps.select(F.col("root").alias("node"), "root").distinct())
-    sizes = comps.groupBy("root").agg(F.count("*").alias("n"))
-    placed = comps.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = saved(placed.select(F.col("node").alias("rep"), "root", "block", "blocks"), "placed")
+    grams = mine.select(F.col("rep").alias("node"), "grams")
+    placed = saved(_placed(saved(comps.join(grams, "node"), "sized"), threshold, block), "placed")
     links = saved(_links(texts, placed, reps, n, threshold), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     forest = links.select(F.col("id").alias("a"), F.explode("to").alias("b"))
@@ -196,13 +195,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = reps.join(counts, reps["rep"] == counts["id"], "left").drop("id").join(classes, F.col("rep") == F.col("node"), "left")
     out = out.select("set_a", "set_b", F.coalesce("class_root", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("texts", F.lit(0)).cast("long").alias("texts"))
     sized = out.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    out = out.join(sized, "class_id")
-    found = marks.where("id is not null and grams > 0").select("id", "set_a", "set_b").join(out, ["set_a", "set_b"])
+    out = saved(out.join(sized, "class_id"), "sets")
+    total = members.count()
+    hot = saved(reps.where(F.col("copies") * HOT_SHARE > total).select("set_a", "set_b"), "hot")
+    found = hot_join(marks.where("id is not null and grams > 0").select("id", "set_a", "set_b"), out, ["set_a", "set_b"], hot)
     found = found.select("id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"), "class_size")
     alone = marks.where("id is null or grams = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(1).cast("long").alias("class_size"))
     return found.unionByName(alone).withColumnRenamed("id", id_col)
 
 
+def _placed(comps: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(rep, root, bin, block, with) from (node, root, grams): where each set stands, and the (bin, blocks) it is compared with.
+
+    Bins are powers of 1 / threshold of the set size: similar sets are in one bin or in two that
+    follow each other, so no others meet. A bin of more than `block` sets is cut by hash.
+    """
+    bins = comps.withColumn("bin", F.floor(F.log(F.col("grams").cast("double")) / F.lit(-log(threshold) * (1 + 1e-9))).cast("int"))
+    sizes = bins.groupBy("root", "bin").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # each bin also to the neighbours that meet it: at most three rows a bin
+    seen = sizes.select("root", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.struct(F.col("bin"), "blocks").alias("other"))
+    seen = seen.groupBy("root", "bin").agg(F.collect_list("other").alias("with"))
+    rows = bins.join(seen, ["root", "bin"])
+    own = F.filter("with", lambda x: x["bin"] == F.col("bin"))[0]["blocks"]
+    return rows.select(F.col("node").alias("rep"), "root", "bin", F.pmod(F.xxhash64("node"), own).cast("int").alias("block"), "with")
+
+
 def _links(texts: DataFrame, placed: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, links, texts, to) of every representative for every block it is compared in."""
 
@@ -217,10 +234,11 @@ def _links(texts: DataFrame, placed: DataFrame, reps: DataFrame, n: int, thresho
     wanted = maybe_broadcast(placed.select("rep"))
     sets = texts.join(wanted, F.col("id") == F.col("rep"), "left_semi").mapInArrow(released(gram_sets), "id long, grams binary")
     copies = reps.select(F.col("rep").alias("of"), "copies").groupBy("of").agg(F.sum("copies").alias("copies"))
-    rows = placed.join(copies, F.col("rep") == F.col("of")).join(sets, F.col("rep") == F.col("id")).select("id", "root", "block", "blocks", "copies", "grams")
-    # the block pairs of a component: each block with itself and with every other one, once
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    rows = rows.withColumn("task", F.explode(others)).select("id", "root", "task.i", "task.j", "copies", "grams", (F.col("block") == F.col("task.j")).alias("right"))
+    rows = placed.join(copies, F.col("rep") == F.col("of")).join(sets, F.col("rep") == F.col("id")).select("id", "root", "bin", "block", "with", "copies", "grams")
+    # a task is a pair of places (bin, block): each with itself and with every one that it meets, once
+    me = F.struct("bin", "block")
+    others = F.flatten(F.transform("with", lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: F.struct(x["bin"].alias("bin"), k.cast("int").alias("block")))))
+    rows = rows.withColumn("other", F.explode(others)).select("id", "root", F.least(me, "other").alias("i"), F.greatest(me, "other").alias("j"), "copies", "grams", (me == F.greatest(me, "other")).alias("right"))
 
     def verify(batch: pa.Table) -> pa.Table:
         ids = batch["id"].to_numpy()
