@@ -6,11 +6,13 @@ spans inside them; consecutive edges of one document with one minimiser form a p
 1. Minimisers that occur in one document only can't hold a repeated edge; they go.
 2. Equal pieces (same edges in the same order: repeated paths without a branch) compact
    to one row with the least document that has them, before anything is exploded.
-3. Edges of the compacted pieces meet by (minimiser, edge hash), two independent 64-bit
-   hashes, in a Spark join that yields each edge's least document: branches are where
-   pieces of one minimiser differ.
-4. Each source piece looks up its edges' least documents; source coordinates (document and
-   word offset) turn edges whose least document is smaller into spans of words to remove.
+3. Edges of the compacted pieces meet by (minimiser, edge hash) in a Spark join that yields
+   each edge's least document: branches are where pieces of one minimiser differ.
+4. Each source piece looks up its edges' least documents and the word offsets there; edges
+   whose least document is smaller become spans to remove. Spans of one document that go on
+   in one source compact into one.
+5. Source coordinates verify every span: the words at the span and those at its source are
+   read again, and a span stays only where their bytes have one 128-bit digest.
 
 All windows of the input are judged, whole texts, with no cap. Words are unchanged.
 
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +123,65 @@ def _by_document(rows: DataFrame) -> DataFrame:
     return lists.mapInArrow(released(run), f"id {kind}, ranges binary")
 
 
+def _joined_spans(rows: DataFrame) -> DataFrame:
+    """(id, a, b, src, src_a) with the spans of one document that go on in one source joined; no document has more than words."""
+    lists = rows.groupBy("id").agg(F.collect_list(F.struct("src", (F.col("src_a") - F.col("a")).alias("shift"), "a", "b")).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                last = None
+                for e in sorted(x, key=lambda e: (e["src"], e["shift"], e["a"])):
+                    if last is not None and last[0] == e["src"] and last[1] == e["shift"] and e["a"] <= last[3]:
+                        last[3] = max(last[3], e["b"])
+                        continue
+                    last = [e["src"], e["shift"], e["a"], e["b"]]
+                    at.append(i)
+                    out.append(last)
+            src, shift, a, b = (list(k) for k in zip(*out, strict=True)) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(src, batch.column(0).type), pa.array([x + y for x, y in zip(shift, a, strict=True)], pa.int32())],
+                ["id", "a", "b", "src", "src_a"],
+            )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return lists.mapInArrow(released(run), f"id {kind}, a int, b int, src {kind}, src_a int")
+
+
+def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows (id, a, b) of spans whose words are those at their source, by a digest of the words' bytes."""
+    kind = spans.schema["id"].dataType.simpleString()
+    end = (F.col("src_a") + F.col("b") - F.col("a")).alias("b")
+    asked = spans.select("id", "a", "b").unionByName(spans.select(F.col("src").alias("id"), F.col("src_a").alias("a"), end)).distinct()
+    lists = asked.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.array([(e["a"], e["b"]) for e in x], np.int32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["id", "ranges"])
+
+    asked = saved(lists.mapInArrow(released(pack), f"id {kind}, ranges binary"), "asked")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cuts, digests = [], [], []
+            for i, (text, r) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                words = (text or "").encode().split()
+                for a, b in np.frombuffer(r, np.int32).reshape(-1, 2).tolist():
+                    at.append(i)
+                    cuts.append((a, b))
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(words[a:b])) if b <= len(words) else b"")
+            a, b = (list(k) for k in zip(*cuts, strict=True)) if cuts else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(digests, pa.binary())], ["id", "a", "b", "digest"])
+
+    # rows that share an id are one source: a span of it is any of their texts' words
+    seen = saved(_with_ranges(docs, asked, "inner").mapInArrow(released(read), f"id {kind}, a int, b int, digest binary").where("octet_length(digest) > 0").distinct(), "seen")
+    there = seen.select(F.col("id").alias("src"), F.col("a").alias("src_a"), (F.col("b") - F.col("a")).alias("n"), F.col("digest").alias("there"))
+    both = spans.withColumn("n", F.col("b") - F.col("a")).join(seen, ["id", "a", "b"]).join(there, ["src", "src_a", "n"])
+    return both.where("digest = there").select("id", "a", "b")
+
+
 def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     """docs and the ranges of their id; ranges is broadcast only if its size is within bounds."""
     size = ranges.agg(F.count("*"), F.sum(F.octet_length("ranges"))).first()
@@ -162,21 +224,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     found = saved(found.withColumn("n", (F.octet_length("path") / 8).cast("int")), "edges")
     name = ["seed", "p1", "p2"]
     # repeated paths without a branch: one row each
-    paths = saved(found.groupBy(*name, "path").agg(F.min("id").alias("lo")), "paths")
+    paths = saved(found.groupBy(*name, "path").agg(F.min(F.struct("id", "start")).alias("lo")).select(*name, "path", F.col("lo.id").alias("lo"), F.col("lo.start").alias("lo_a")), "paths")
     each = _explode_edges(paths)
-    least = each.groupBy("seed", "edge").agg(F.min("lo").alias("m"))
-    branched = each.join(least, ["seed", "edge"]).where("m < lo").groupBy(*name).agg(F.collect_list(F.struct("at", "m")).alias("less"))
-    firsts = saved(paths.select(*name, "lo").join(branched, name, "left"), "firsts")
+    least = each.groupBy("seed", "edge").agg(F.min(F.struct("lo", "lo_a")).alias("m"))
+    less = F.struct("at", F.col("m.lo").alias("m"), F.col("m.lo_a").alias("m_a"))
+    branched = each.join(least, ["seed", "edge"]).where("m.lo < lo").groupBy(*name).agg(F.collect_list(less).alias("less"))
+    firsts = saved(paths.select(*name, "lo", "lo_a").join(branched, name, "left"), "firsts")
     sources = found.select("id", "start", "n", *name).join(firsts, name)
     # an edge goes where its least document is smaller than the source
-    whole = sources.where("lo < id").select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
+    whole = sources.where("lo < id").select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"), F.col("lo").alias("src"), F.col("lo_a").alias("src_a"))
     some = sources.where("lo = id and less is not null").select("id", "start", F.explode("less").alias("e")).where("e.m < id")
-    some = some.select("id", (F.col("start") + F.col("e.at")).alias("a"), (F.col("start") + F.col("e.at") + window).alias("b"))
-    return saved(_by_document(whole.unionByName(some)), "spans")
+    some = some.select("id", (F.col("start") + F.col("e.at")).alias("a"), (F.col("start") + F.col("e.at") + window).alias("b"), F.col("e.m").alias("src"), F.col("e.m_a").alias("src_a"))
+    spans = saved(_joined_spans(whole.unionByName(some)), "spans")
+    return saved(_by_document(_verified(docs.where("id is not null"), spans)), "verified")
 
 
 def _explode_edges(paths: DataFrame) -> DataFrame:
-    """(seed, p1, p2, at, edge, lo) of every edge of the compacted paths."""
+    """(seed, p1, p2, at, edge, lo, lo_a) of every edge of the compacted paths: its least document and the word offset there."""
+    names = ["seed", "p1", "p2", "at", "edge", "lo", "lo_a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,13 +249,14 @@ def _explode_edges(paths: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 4096)
                 raw = part.column("path").to_pylist()
                 n = np.array([len(x) // 8 for x in raw], np.int64)
-                row = pa.array(np.repeat(np.arange(len(raw)), n))
+                row = np.repeat(np.arange(len(raw)), n)
                 at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
                 edge = np.frombuffer(b"".join(raw), np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in ("seed", "p1", "p2")), pa.array(at), pa.array(edge), part.column("lo").take(row)], ["seed", "p1", "p2", "at", "edge", "lo"])
+                there = part.column("lo_a").to_numpy()[row] + at
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in ("seed", "p1", "p2")), pa.array(at), pa.array(edge), part.column("lo").take(pa.array(row)), pa.array(there.astype(np.int32))], names)
 
     kind = paths.schema["lo"].dataType.simpleString()
-    return paths.mapInArrow(released(run), f"seed long, p1 long, p2 long, at int, edge long, lo {kind}")
+    return paths.mapInArrow(released(run), f"seed long, p1 long, p2 long, at int, edge long, lo {kind}, lo_a int")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
