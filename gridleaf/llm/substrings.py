@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, chunks, maybe_broadcast, powers, released, saved, signed, small_batches, span_hash, split_words, table, word_hashes
+from .common import BROADCAST_ROWS, HOT_SHARE, chunks, hot_join, maybe_broadcast, powers, released, saved, signed, small_batches, span_hash, split_words, table, word_hashes
 
 WINDOW = 50
 K = 20
@@ -178,8 +178,10 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
     # rows that share an id are one source: a span of it is any of their texts' words
     seen = saved(_with_ranges(docs, asked, "inner").mapInArrow(released(read), f"id {kind}, a int, b int, digest binary").where("octet_length(digest) > 0").distinct(), "seen")
     there = seen.select(F.col("id").alias("src"), F.col("a").alias("src_a"), (F.col("b") - F.col("a")).alias("n"), F.col("digest").alias("there"))
-    both = spans.withColumn("n", F.col("b") - F.col("a")).join(seen, ["id", "a", "b"]).join(there, ["src", "src_a", "n"])
-    return both.where("digest = there").select("id", "a", "b")
+    mine = saved(spans.withColumn("n", F.col("b") - F.col("a")).join(seen, ["id", "a", "b"]), "mine")
+    place = ["src", "src_a", "n"]  # a third of all spans may have one source
+    hot = saved(mine.groupBy(*place).count().where(F.col("count") * HOT_SHARE > mine.count()), "hot")
+    return hot_join(mine, there, place, hot).where("digest = there").select("id", "a", "b")
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
@@ -224,13 +226,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     found = saved(found.withColumn("n", (F.octet_length("path") / 8).cast("int")), "edges")
     name = ["seed", "p1", "p2"]
     # repeated paths without a branch: one row each
-    paths = saved(found.groupBy(*name, "path").agg(F.min(F.struct("id", "start")).alias("lo")).select(*name, "path", F.col("lo.id").alias("lo"), F.col("lo.start").alias("lo_a")), "paths")
+    paths = saved(found.groupBy(*name, "path").agg(F.min(F.struct("id", "start")).alias("lo"), F.count("*").alias("copies")).select(*name, "path", "copies", F.col("lo.id").alias("lo"), F.col("lo.start").alias("lo_a")), "paths")
     each = _explode_edges(paths)
     least = each.groupBy("seed", "edge").agg(F.min(F.struct("lo", "lo_a")).alias("m"))
     less = F.struct("at", F.col("m.lo").alias("m"), F.col("m.lo_a").alias("m_a"))
     branched = each.join(least, ["seed", "edge"]).where("m.lo < lo").groupBy(*name).agg(F.collect_list(less).alias("less"))
     firsts = saved(paths.select(*name, "lo", "lo_a").join(branched, name, "left"), "firsts")
-    sources = found.select("id", "start", "n", *name).join(firsts, name)
+    hot = saved(paths.where(F.col("copies") * HOT_SHARE > found.count()).select(*name).distinct(), "hot")
+    sources = hot_join(found.select("id", "start", "n", *name), firsts, name, hot)
     # an edge goes where its least document is smaller than the source
     whole = sources.where("lo < id").select("id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"), F.col("lo").alias("src"), F.col("lo_a").alias("src_a"))
     some = sources.where("lo = id and less is not null").select("id", "start", F.explode("less").alias("e")).where("e.m < id")
