@@ -17,18 +17,17 @@ def saved_mapping(ordered: DataFrame, shift: int = 0) -> DataFrame:
 def match_saved(ordered: DataFrame, mapping: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Each box's name: that of the first saved box within the tolerance on both axes, else box{position}.
 
-    A mapping is one form's boxes; its size is checked before it is broadcast, and larger
-    ones join on grid cells of the tolerance.
+    Boxes and saved boxes join on grid cells of the tolerance; a mapping is broadcast only
+    within a checked size.
     """
     rows = mapping.select(F.col("ord"), "column_name", F.col("x").alias("mx"), F.col("y").alias("my"))
     near = f"abs(x - mx) <= {tolerance} and abs(y - my) <= {tolerance}"
+    cells = rows.withColumns({"gx": F.floor(F.col("mx") / tolerance), "gy": F.floor(F.col("my") / tolerance)})
     if rows.count() <= MAPPING_ROWS:
-        pairs = ordered.join(F.broadcast(rows), F.expr(near), "left")
-    else:
-        cells = rows.withColumns({"gx": F.floor(F.col("mx") / tolerance), "gy": F.floor(F.col("my") / tolerance)})
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        each = ordered.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).withColumns({"cx_": F.floor(F.col("x") / tolerance) + F.col("i"), "cy_": F.floor(F.col("y") / tolerance) + F.col("j")})
-        pairs = each.join(cells, F.expr(f"gx = cx_ and gy = cy_ and {near}"), "left")
+        cells = F.broadcast(cells)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    each = ordered.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).withColumns({"cx_": F.floor(F.col("x") / tolerance) + F.col("i"), "cy_": F.floor(F.col("y") / tolerance) + F.col("j")})
+    pairs = each.join(cells, F.expr(f"gx = cx_ and gy = cy_ and {near}"), "left")
     best = pairs.groupBy("page_id", "box_id", "position").agg(F.min_by("column_name", "ord").alias("found"))
     return best.select("page_id", "box_id", "position", F.coalesce("found", F.concat(F.lit("box"), F.col("position").cast("string"))).alias("column_name"))
 
@@ -53,6 +52,27 @@ def mapping_json(mapping: DataFrame) -> DataFrame:
     return mapping.agg(F.to_json(as_map).alias("json"))
 
 
+def reference(named: DataFrame) -> DataFrame:
+    """The reference table of a mapping: box number, name, place, state."""
+    return named.select("page_id", F.concat(F.lit("box"), F.col("position").cast("string")).alias("box_number"), "column_name", F.col("x").alias("position_x"), F.col("y").alias("position_y"), "is_filled", "fill_score")
+
+
+def simple_json(mapping: DataFrame) -> DataFrame:
+    """One row: the mapping of one form as a JSON object boxN -> column_name."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", "column_name")))
+    as_map = F.map_from_entries(F.transform(rows, lambda e: F.struct(F.concat(F.lit("box"), e["ord"].cast("string")), e["column_name"])))
+    return mapping.agg(F.to_json(as_map).alias("json"))
+
+
+def custom_wide(ordered: DataFrame, names: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row a page with a boolean column for each name, by position; order picks and orders the columns. Names that repeat are refused."""
+    if len(set(names)) != len(names):
+        raise ValueError("answer names repeat")
+    at = {n: i + 1 for i, n in enumerate(names)}
+    columns = [n for n in order if n in at] if order else names
+    return ordered.groupBy("page_id").agg(*(F.max(F.when(F.col("position") == at[n], F.col("is_filled"))).alias(n) for n in columns))
+
+
 def files_and_pages(files: DataFrame, pages: list[int] | None) -> DataFrame:
     """files (seq, path) with page numbers: none means page 0, one holds for all, else pairs in order (the shorter list ends)."""
     if not pages:

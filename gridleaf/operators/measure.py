@@ -95,3 +95,27 @@ def broadened(boxes: DataFrame, low: int, high: int, wider: tuple[int, int]) ->
 def clicked_size(clicks: DataFrame) -> DataFrame:
     """Size and top-left corner from two corner clicks (x0, y0, x1, y1)."""
     return clicks.select("*", F.least("x0", "x1").alias("x"), F.least("y0", "y1").alias("y"), F.abs(F.col("x1") - F.col("x0")).alias("w"), F.abs(F.col("y1") - F.col("y0")).alias("h"))
+
+
+#: Which boxes each way of measuring looks at.
+VARIANTS = {"any": "area > 100", "large": "area > 500", "near_square": "area > 50 and aspect_ratio > 0.85D and aspect_ratio < 1.15D", "equal_sides": "abs(w - h) < 5"}
+
+
+def variant(boxes: DataFrame, name: str) -> DataFrame:
+    return with_geometry(boxes).where(VARIANTS[name])
+
+
+def config_sizes(boxes: DataFrame, low: int, high: int) -> DataFrame:
+    """One row: number, least, greatest and mean sides of the boxes that a detector's side range lets through."""
+    aggs = [F.count("*").alias("n")]
+    for c in ("w", "h"):
+        aggs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.round(F.avg(c), 6).alias(f"{c}_mean")]
+    return boxes.where(f"w between {low} and {high} and h between {low} and {high}").agg(*aggs)
+
+
+def suggest_range_by(boxes: DataFrame, key: str, margin: int = 3) -> DataFrame:
+    """suggest_range for each value of a column with few values, as dpi: one pass for the deviations, one for the range."""
+    squares = variant(boxes, "near_square").select(key, F.expr("(w + h) / 2D").alias("side"))
+    stats = squares.groupBy(F.col(key).alias("of")).agg(F.avg("side").alias("m"), F.stddev_pop("side").alias("s"))
+    out = squares.join(stats, F.col(key) == F.col("of")).where("abs(side - m) < 2 * s").groupBy(key).agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    return out.select(key, "n", "lo", "hi", F.greatest(F.lit(1), (F.col("lo") - margin).cast("int")).cast("long").alias("suggested_min"), (F.col("hi") + margin).cast("int").cast("long").alias("suggested_max"))

@@ -8,13 +8,15 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fill as fills
 from ..operators import boxes as bx
 from ..operators import correlate as co
 from ..operators import text as tx
-from ..sources import sinks
+from ..operators import vision as vi
+from ..sources import readers, sinks
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,28 @@ class Settings:
 PRESETS = {"default": Settings(), "high_resolution": Settings(300, 30, 60), "small_boxes": Settings(200, 10, 25)}
 
 
+def from_files(files: DataFrame, words: DataFrame, folder: str, settings: Settings = Settings(), render=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, metadata, documents, errors) of scanned files (path, content[, page]) and their OCR words.
+
+    words: (path, page, line_num, word_num, text, x, y, w, h, confidence). Pages are rendered once
+    and kept in folder as a table; page_id is a hash of file and page. A page that can't be rendered
+    is a row of errors (page_id, path, page, error) and ends nothing.
+    """
+    page = F.xxhash64("path", "page").alias("page_id")
+    rasters = readers.rasterise(files, render, settings.dpi)
+    rasters.select(page, "*").write.mode("overwrite").parquet(folder)
+    rasters = files.sparkSession.read.parquet(folder)
+    errors = rasters.where("error is not null").select("page_id", "path", "page", "error")
+    good = rasters.where("error is null").drop("path", "page", "error")
+    sides = (settings.min_side, settings.max_side)
+    boxes = vi.detect_checkboxes(good, sides, sides)
+    scored = fills.rule_vote(vi.box_features(boxes.join(good, "page_id"))).select("page_id", "box_id", F.col("filled_score").alias("fill_score"), "is_filled")
+    boxes = boxes.join(scored, ["page_id", "box_id"])
+    lines = tx.assemble_lines(words.withColumn("page", F.col("page").cast("int")).select(page, *(c for c in words.columns if c not in ("path", "page"))))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("line_num")).cast("long") - 1
+    return (*survey(boxes, lines.withColumn("text_id", number)), errors)
+
+
 def survey(boxes: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, metadata, documents) of pages from detected boxes and OCR lines with text_id."""
     pool = tx.label_pool(lines)
