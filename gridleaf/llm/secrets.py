@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,12 @@ def window_entropy(strings: list[str], width: int = WINDOW) -> np.ndarray:
     return out
 
 
+#: Windows of a candidate that advance in one row; longer candidates take several rows, which overlap by a window less one.
+PIECE = 2048
+#: Cells of the array of windows that is held at once.
+CELLS = 1 << 21
+
+
 def entropy_spans(texts: list[str]) -> list[list[tuple[int, int]]]:
     """Merged windows of high entropy of each text."""
     where, strings, out = [], [], [[] for _ in texts]
@@ -100,23 +108,30 @@ def entropy_spans(texts: list[str]) -> list[list[tuple[int, int]]]:
             if not allowed(m.group()):
                 where.append((i, m.start()))
                 strings.append(m.group())
-    order = sorted(range(len(strings)), key=lambda k: len(strings[k]))  # like lengths together
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
-        if len(strings[part[-1]]) > 4096:  # very long candidates: one at a time
-            blocks = [[k] for k in part]
-        else:
-            blocks = [part]
-        for block in blocks:
-            bits = window_entropy([strings[k] for k in block])
-            need = np.array([THRESHOLDS[classify(strings[k])] for k in block])
-            high = np.nan_to_num(bits, nan=-1.0) >= need[:, None]
-            for r, k in enumerate(block):
-                at = np.flatnonzero(high[r])
-                if len(at):
-                    i, start = where[k]
-                    for run in np.split(at, np.flatnonzero(np.diff(at) > WINDOW) + 1):
-                        out[i].append((start + int(run[0]), start + int(run[-1]) + WINDOW))
+    need = [THRESHOLDS[classify(s)] for s in strings]
+    pieces = [(k, p) for k, s in enumerate(strings) for p in range(0, len(s) - WINDOW + 1, PIECE)]
+    pieces.sort(key=lambda x: min(PIECE, len(strings[x[0]]) - x[1]))  # like lengths together
+    high: list[list[np.ndarray]] = [[] for _ in strings]
+    at = 0
+    while at < len(pieces):
+        # rows of at most the last one's length, within CELLS
+        stop = min(len(pieces), at + 512)
+        longest = min(PIECE + WINDOW - 1, len(strings[pieces[stop - 1][0]]) - pieces[stop - 1][1])
+        stop = min(stop, at + max(1, CELLS // longest))
+        part = pieces[at:stop]
+        bits = window_entropy([strings[k][p : p + PIECE + WINDOW - 1] for k, p in part])
+        rows, cols = np.nonzero(np.nan_to_num(bits, nan=-1.0) >= np.array([need[k] for k, _ in part])[:, None])
+        cuts = np.searchsorted(rows, np.arange(len(part) + 1))
+        for r, (k, p) in enumerate(part):
+            if cuts[r] < cuts[r + 1]:
+                high[k].append(cols[cuts[r] : cuts[r + 1]] + p)
+        at = stop
+    for k, parts in enumerate(high):
+        if parts:
+            windows = np.sort(np.concatenate(parts))
+            i, start = where[k]
+            for run in np.split(windows, np.flatnonzero(np.diff(windows) > WINDOW) + 1):
+                out[i].append((start + int(run[0]), start + int(run[-1]) + WINDOW))
     return [sorted(x) for x in out]
 
 
@@ -125,7 +140,14 @@ def all_spans(texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[t
     out = []
     for text, high in zip(texts, entropy_spans(texts), strict=True):
         base = base_spans(text)
-        out.append((base, [(a, b) for a, b in high if not any(a < e and s < b for s, _, e in base)]))
+        starts = [s for s, _, _ in base]
+        ends = list(accumulate((e for _, _, e in base), max))  # the furthest end of the spans so far
+        free = []
+        for a, b in high:
+            before = bisect_left(starts, b)  # base spans that start ahead of b
+            if not before or ends[before - 1] <= a:
+                free.append((a, b))
+        out.append((base, free))
     return out
 
 

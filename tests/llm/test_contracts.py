@@ -274,3 +274,27 @@ def test_slots_spare_titles_and_paragraphs(spark):
     got = {x.page_id: x.text for x in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     for i, _, source in pages:
         assert got[i] == " ".join(re.sub(r"<[^>]*>", " ", source[source.index("<h1>") :]).split())
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def test_long_candidates_and_overlaps_equal_the_plain_way(monkeypatch):
+    """Windows of long candidates advance in pieces; overlaps with base spans are found without comparing all pairs."""
+    r = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    make = lambda n: "".join(r.choice(alphabet if r.random() < 0.7 else "ab") for _ in range(n))
+    texts = [" ".join(r.choice((make(r.randint(20, 300)), "token=" + make(40), "word", "0123456789abcdef" * 3)) for _ in range(30)) for _ in range(6)] + [make(9000), "aB3" * 4000]
+    want = secrets.all_spans(texts)
+    for text, (base, free) in zip(texts, want, strict=True):
+        high = []
+        for m in secrets.CANDIDATE.finditer(text):
+            if secrets.allowed(m.group()):
+                continue
+            bits = secrets.window_entropy([m.group()])[0]
+            at = np.flatnonzero(bits >= secrets.THRESHOLDS[secrets.classify(m.group())])
+            if len(at):
+                high += [(m.start() + int(x[0]), m.start() + int(x[-1]) + secrets.WINDOW) for x in np.split(at, np.flatnonzero(np.diff(at) > secrets.WINDOW) + 1)]
+        assert free == [(a, b) for a, b in high if not any(a < e and s < b for s, _, e in base)]
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    assert secrets.all_spans(texts[:3]) == want[:3]
