@@ -211,11 +211,12 @@ def _placed(comps: DataFrame, threshold: float, block: int) -> DataFrame:
     follow each other, so no others meet. A bin of more than `block` sets is cut by hash.
     """
     bins = comps.withColumn("bin", F.floor(F.log(F.col("grams").cast("double")) / F.lit(-log(threshold) * (1 + 1e-9))).cast("int"))
-    sizes = bins.groupBy("root", "bin").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = saved(bins.groupBy("root", "bin").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")), "bins")
+    hot = saved(sizes.where(F.col("n") * HOT_SHARE > comps.count()).select("root", "bin"), "hot")
     # each bin also to the neighbours that meet it: at most three rows a bin
     seen = sizes.select("root", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.struct(F.col("bin"), "blocks").alias("other"))
-    seen = seen.groupBy("root", "bin").agg(F.collect_list("other").alias("with"))
-    rows = bins.join(seen, ["root", "bin"])
+    seen = saved(seen.groupBy("root", "bin").agg(F.collect_list("other").alias("with")), "meets")
+    rows = hot_join(bins, seen, ["root", "bin"], hot)
     own = F.filter("with", lambda x: x["bin"] == F.col("bin"))[0]["blocks"]
     return rows.select(F.col("node").alias("rep"), "root", "bin", F.pmod(F.xxhash64("node"), own).cast("int").alias("block"), "with")
 
