@@ -53,12 +53,14 @@ def overlap_pairs(boxes: DataFrame, rule: Column, threshold: float = OVERLAP) ->
     return a.join(b, F.expr(near)).withColumn("ratio", rule).where(F.col("ratio") > threshold).select("page_id", F.col("a_box_id").alias("box_a"), F.col("b_box_id").alias("box_b"), "ratio")
 
 
-_BOX = "struct<s:double,box_id:bigint,x:bigint,y:bigint,w:bigint,h:bigint>"
+def _arrays(boxes: DataFrame, first: str, more: str = "") -> DataFrame:
+    one = F.expr(f"struct(cast({first} as double) as s, cast(box_id as bigint) as box_id, cast(x as bigint) as x, cast(y as bigint) as y, cast(w as bigint) as w, cast(h as bigint) as h{more})")
+    return boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
 
 
-def _arrays(boxes: DataFrame, first: str) -> DataFrame:
-    one = F.expr(f"struct(cast({first} as double) as s, cast(box_id as bigint) as box_id, cast(x as bigint) as x, cast(y as bigint) as y, cast(w as bigint) as w, cast(h as bigint) as h)")
-    return boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+def _greedy(threshold: float) -> str:
+    """Those of a page's ordered boxes (all) that overlap no box kept before them."""
+    return f"aggregate(all, slice(all, 1, 0), (acc, e) -> if(exists(acc, k -> {overlap_sql('k', 'e')} > {threshold}D), acc, concat(acc, array(e))))"
 
 
 def remove_overlaps(boxes: DataFrame, threshold: float = OVERLAP) -> DataFrame:
@@ -66,8 +68,7 @@ def remove_overlaps(boxes: DataFrame, threshold: float = OVERLAP) -> DataFrame:
 
     A removed box removes no other, so this is a fold and not an anti-join.
     """
-    step = f"if(exists(acc, k -> {overlap_sql('k', 'e')} > {threshold}D), acc, concat(acc, array(e)))"
-    folded = _arrays(boxes, "-fill_score").select("page_id", "all", F.expr(f"aggregate(all, cast(array() as array<{_BOX}>), (acc, e) -> {step})").alias("kept"))
+    folded = _arrays(boxes, "-fill_score").select("page_id", "all", F.expr(_greedy(threshold)).alias("kept"))
     each = folded.select("page_id", F.expr("transform(kept, k -> k.box_id)").alias("ids"), F.explode(F.expr("transform(all, b -> b.box_id)")).alias("box_id"))
     at = F.array_position("ids", F.col("box_id"))
     return each.select("page_id", "box_id", (at > 0).alias("kept"), F.when(at > 0, at).alias("seq"))
@@ -96,19 +97,24 @@ def reading_order(boxes: DataFrame, by_center: bool = True) -> DataFrame:
     return boxes.withColumn("position", F.row_number().over(Window.partitionBy("page_id").orderBy(*keys, "box_id")).cast("long"))
 
 
+def _rows(source: str, tolerance: int, payload: str, kind: str) -> str:
+    """source (y, s, x, payload; in order) as an array (row_num, x, s, payload) in row order."""
+    at = f"named_struct('row_num', {{}}, 'x', e.x, 's', cast(size(acc.out) as bigint), '{payload}', e.{payload})"
+    return f"""aggregate({source}, named_struct('anchor', cast(null as bigint), 'row', 0L, 'out', cast(array() as array<struct<row_num:bigint,x:bigint,s:bigint,{payload}:{kind}>>)),
+      (acc, e) -> if(acc.anchor is null or abs(e.y - acc.anchor) > {tolerance},
+        named_struct('anchor', e.y, 'row', acc.row + 1, 'out', concat(acc.out, array({at.format("acc.row + 1")}))),
+        named_struct('anchor', acc.anchor, 'row', acc.row, 'out', concat(acc.out, array({at.format("acc.row")})))),
+      acc -> array_sort(acc.out))"""
+
+
 def row_order(boxes: DataFrame, tolerance: int = ROW_TOLERANCE, seq: str = "box_id") -> DataFrame:
     """boxes with row_num and position from 1: rows by an anchor y, x within a row; ties keep y order, then seq.
 
     A row's anchor is its first y: comparing neighbours instead would chain rows together.
     """
-    items = F.expr(f"struct(cast(y as bigint) as y, cast({seq} as bigint) as s, cast(x as bigint) as x, box_id)")
+    items = F.expr(f"struct(cast(y as bigint) as y, cast({seq} as bigint) as s, cast(x as bigint) as x, cast(box_id as bigint) as box_id)")
     rows = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(items)).alias("all"))
-    fold = f"""aggregate(all, named_struct('anchor', cast(null as bigint), 'row', 0L, 'out', cast(array() as array<struct<row_num:bigint,x:bigint,s:bigint,box_id:bigint>>)),
-      (acc, e) -> if(acc.anchor is null or abs(e.y - acc.anchor) > {tolerance},
-        named_struct('anchor', e.y, 'row', acc.row + 1, 'out', concat(acc.out, array(named_struct('row_num', acc.row + 1, 'x', e.x, 's', cast(size(acc.out) as bigint), 'box_id', e.box_id)))),
-        named_struct('anchor', acc.anchor, 'row', acc.row, 'out', concat(acc.out, array(named_struct('row_num', acc.row, 'x', e.x, 's', cast(size(acc.out) as bigint), 'box_id', e.box_id))))),
-      acc -> array_sort(acc.out))"""
-    placed = rows.select("page_id", F.posexplode(F.expr(fold)).alias("p", "b")).selectExpr("page_id", "b.box_id", "b.row_num", "cast(p + 1 as bigint) as position")
+    placed = rows.select("page_id", F.posexplode(F.expr(_rows("all", tolerance, "box_id", "bigint"))).alias("p", "b")).selectExpr("page_id", "b.box_id", "b.row_num", "cast(p + 1 as bigint) as position")
     return boxes.join(placed, ["page_id", "box_id"])
 
 
@@ -126,7 +132,18 @@ def wide_answers(ordered: DataFrame) -> DataFrame:
 def answers(boxes: DataFrame, width: int, height: int, top_percent: float = 10, bottom_percent: float = 5) -> DataFrame:
     """The whole form flow: exclusion, overlap removal, row order, wide row. Excluded boxes remove no other."""
     kept, _ = split_excluded(boxes, exclusion_bounds(width, height, top_percent, bottom_percent))
-    return wide_answers(row_order(without_overlaps(kept), seq="seq"))
+    return answers_of(kept)
+
+
+def answers_of(kept: DataFrame, threshold: float = OVERLAP, tolerance: int = ROW_TOLERANCE) -> DataFrame:
+    """The wide row of each page's boxes, without overlaps and in row order.
+
+    A page's boxes carry is_filled through both folds, so boxes are shuffled once and joined to nothing.
+    """
+    pages = _arrays(kept, "-fill_score", ", cast(is_filled as boolean) as is_filled").select("page_id", F.expr(_greedy(threshold)).alias("kept"))
+    items = "array_sort(transform(kept, (k, i) -> named_struct('y', k.y, 's', i, 'x', k.x, 'is_filled', k.is_filled)))"
+    placed = pages.select("page_id", F.posexplode(F.expr(_rows(items, tolerance, "is_filled", "boolean"))).alias("p", "b"))
+    return wide_answers(placed.selectExpr("page_id", "p + 1 as position", "b.is_filled"))
 
 
 def wide_boxes(ordered: DataFrame, n: int = 0) -> DataFrame:

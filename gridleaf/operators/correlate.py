@@ -1,17 +1,18 @@
 """Spatial matching of boxes to label texts, page by page.
 
 Candidates come from an equi-join on page_id with the distance as a residual, so a page is
-the join key and the pairs of a page are the only pairs. The greedy exclusive match folds
-over a page's candidates; all else is joins and window ranks.
+the join key and the pairs of a page are the only pairs. The matches join once: a box gathers
+its near texts and its aligned one, and all that follows stays on the partitioning by page.
+The greedy exclusive match folds over a page's candidates.
 """
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,12 +23,12 @@ NEAR, LAYOUT_RADIUS, MATCH_RADIUS, ALIGN_BAND, CLUSTER_EPS = 200, 150, 150, 30,
 DIRECTIONS = ("right", "left", "below", "above")
 
 
-def _pairs(boxes: DataFrame, texts: DataFrame) -> DataFrame:
+def _pairs(boxes: DataFrame, texts: DataFrame, how: str = "inner") -> DataFrame:
     """Box and text of one page, with dx, dy, dist and direction of the text from the box."""
     b = with_geometry(boxes).select("page_id", "box_id", "cx", "cy")
     t = texts.select(F.col("page_id").alias("t_page"), "text_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"))
     dx, dy = F.col("tx") - F.col("cx"), F.col("ty") - F.col("cy")
-    return b.join(t, F.col("page_id") == F.col("t_page")).drop("t_page").withColumns({"dx": dx, "dy": dy}).withColumns({"dist": g.distance(F.col("dx"), F.col("dy")), "direction": g.direction(F.col("dx"), F.col("dy"))})
+    return b.join(t, F.col("page_id") == F.col("t_page"), how).drop("t_page").withColumns({"dx": dx, "dy": dy}).withColumns({"dist": g.distance(F.col("dx"), F.col("dy")), "direction": g.direction(F.col("dx"), F.col("dy"))})
 
 
 def nearest_texts(boxes: DataFrame, texts: DataFrame, radius: float = NEAR) -> DataFrame:
@@ -43,6 +44,15 @@ def nearest_one(boxes: DataFrame, texts: DataFrame, radius: float = LAYOUT_RADIU
     return near.groupBy("page_id", "box_id").agg(best.alias("b")).select("page_id", "box_id", "b.text_id", "b.dist", "b.direction")
 
 
+def _layout_type(has_text: Column) -> Column:
+    """The label side of a page from the columns n (boxes with a neighbour) and their count by direction."""
+    share = {d: F.col(d) / F.nullif(F.col("n"), F.lit(0)) for d in DIRECTIONS}
+    return (
+        F.when(~has_text, "unknown").when(share["right"] > 0.7, "right_labels").when(share["left"] > 0.7, "left_labels")
+        .when(share["below"] > 0.5, "below_labels").when(share["above"] > 0.5, "above_labels").otherwise("mixed")
+    )
+
+
 def layouts(boxes: DataFrame, texts: DataFrame, radius: float = LAYOUT_RADIUS) -> DataFrame:
     """layout_type and dominant_direction of every page that has boxes.
 
@@ -51,93 +61,124 @@ def layouts(boxes: DataFrame, texts: DataFrame, radius: float = LAYOUT_RADIUS) -
     near = nearest_one(boxes, texts, radius)
     counts = near.groupBy("page_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("direction") == d).alias(d) for d in DIRECTIONS))
     pages = boxes.groupBy("page_id").agg(F.count("*").alias("n_boxes")).join(texts.select("page_id").distinct().withColumn("has_text", F.lit(True)), "page_id", "left").join(counts, "page_id", "left")
-    share = {d: F.col(d) / F.nullif(F.col("n"), F.lit(0)) for d in DIRECTIONS}
-    kind = (
-        F.when(F.col("has_text").isNull(), "unknown").when(share["right"] > 0.7, "right_labels").when(share["left"] > 0.7, "left_labels")
-        .when(share["below"] > 0.5, "below_labels").when(share["above"] > 0.5, "above_labels").otherwise("mixed")
-    )
     most = F.greatest(*DIRECTIONS)
     # the mode; ties go to the direction that sorts first
     mode = F.coalesce(*(F.when((F.col(d) == most) & (F.col("n") > 0), d) for d in sorted(DIRECTIONS)))
-    return pages.select("page_id", "n_boxes", kind.alias("layout_type"), mode.alias("dominant_direction"))
+    return pages.select("page_id", "n_boxes", _layout_type(F.col("has_text").isNotNull()).alias("layout_type"), mode.alias("dominant_direction"))
 
 
-def _cluster_page(page: pd.DataFrame, eps: float) -> np.ndarray:
-    """Components of the distance graph, numbered by first member; -1 for a box without a neighbour (0 if alone)."""
-    xy = page[["cx", "cy"]].to_numpy(np.float64)
-    n = len(xy)
-    if n == 1:
-        return np.zeros(1, np.int64)
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n points' component under the links a[i] - b[i]."""
     label = np.arange(n)
-    order = np.argsort(xy[:, 1], kind="stable")
-    ys = xy[order, 1]
-    reach = np.searchsorted(ys, ys + eps, "right")
-    links = [[] for _ in range(n)]
-    for p in range(n):  # neighbours in a horizontal band only
-        near = order[p + 1 : reach[p]]
-        for q in near[np.hypot(*(xy[near] - xy[order[p]]).T) <= eps]:
-            links[order[p]].append(q)
-            links[q].append(order[p])
-    seen = np.full(n, -1)
-    found = 0
-    for i in label:
-        if seen[i] >= 0 or not links[i]:
-            continue
-        stack = [i]
-        while stack:
-            k = stack.pop()
-            if seen[k] < 0:
-                seen[k] = found
-                stack += links[k]
-        found += 1
-    return seen
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _cluster_pages(page: np.ndarray, x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Cluster of each box of whole pages (boxes side by side, in box_id order): components of the
+    distance graph, numbered in a page by first member; -1 for a box without a neighbour (0 if alone)."""
+    n = len(page)
+    order = np.lexsort((y, page))
+    p, sx, sy = page[order], x[order], y[order]
+    live, step, ends = np.arange(n), 1, [np.empty((2, 0), np.int64)]
+    while True:  # the neighbour step places further down, while one is in the band of height eps
+        live = live[live + step < n]
+        live = live[(p[live] == p[live + step]) & (sy[live + step] - sy[live] <= eps)]
+        if not len(live):
+            break
+        close = live[np.hypot(sx[live + step] - sx[live], sy[live + step] - sy[live]) <= eps]
+        ends.append(np.stack((order[close], order[close + step])))
+        step += 1
+    root = _components(n, *np.concatenate(ends, axis=1))
+    first = (np.bincount(root, minlength=n) > 1) & (root == np.arange(n))
+    begins = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    sizes = np.diff(np.r_[begins, n])
+    number = np.cumsum(first) - np.repeat((np.cumsum(first) - first)[begins], sizes) - 1
+    return np.where(np.repeat(sizes, sizes) == 1, 0, np.where(first[root], number[root], -1))
 
 
 def clusters(boxes: DataFrame, eps: float = CLUSTER_EPS) -> DataFrame:
-    """page_id, box_id, cluster: density clusters of two or more boxes are components of dist <= eps."""
+    """page_id, box_id, cluster: density clusters of two or more boxes are components of dist <= eps.
+
+    A page is a row with its boxes, so an Arrow batch has many pages and numpy works on all of them.
+    """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("box_id")
-        return pd.DataFrame({"page_id": page["page_id"], "box_id": page["box_id"], "cluster": _cluster_page(page, eps)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("all")
+            box, x, y = lists.flatten().flatten()
+            at = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            found = _cluster_pages(at, x.to_numpy(zero_copy_only=False).astype(np.float64), y.to_numpy(zero_copy_only=False).astype(np.float64), eps)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at)), box, pa.array(found, pa.int64())], ["page_id", "box_id", "cluster"])
 
-    return with_geometry(boxes).select("page_id", "box_id", "cx", "cy").groupBy("page_id").applyInPandas(run, "page_id long, box_id long, cluster long")
+    each = F.struct(F.col("box_id").cast("long").alias("box_id"), "cx", "cy")
+    pages = with_geometry(boxes).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(each)).alias("all"))
+    return pages.mapInArrow(run, "page_id long, box_id long, cluster long")
 
 
 _MATCH = ("page_id", "box_id", "text_id", "confidence", "distance", "direction", "alignment")
 
 
+def _per_box(boxes: DataFrame, texts: DataFrame, radius: float = MATCH_RADIUS, band: int = ALIGN_BAND) -> DataFrame:
+    """One row a box: c, its texts in the radius, nearest first; a, its aligned text; side, the direction
+    of its nearest text in the layout radius; has_text, if its page has any."""
+    flat, down, right = F.abs("dy") < band, F.col("dy") > 0, F.col("dx") > 0
+    p = _pairs(boxes, texts, "left")
+    p = p.withColumns({"flat": flat, "d": F.when(flat, F.abs("dx")).otherwise(F.abs("dy")).cast("double"), "dir": F.when(flat, F.when(right, "right").otherwise("left")).otherwise(F.when(down, "below").otherwise("above"))})
+    aligned = F.when(F.col("flat") | (F.abs("dx") < band), F.struct(~F.col("flat"), F.col("d"), F.col("text_id")))
+    return p.groupBy("page_id", "box_id", "cy", "cx").agg(
+        F.array_sort(F.collect_list(F.when(F.col("dist") <= radius, F.struct("dist", "text_id", "direction")))).alias("c"), F.min_by(F.struct("text_id", "d", "dir", "flat"), aligned).alias("a"),
+        F.min_by("direction", F.when(F.col("dist") <= LAYOUT_RADIUS, F.struct("dist", "text_id"))).alias("side"), F.max(F.col("text_id").isNotNull()).alias("has_text"),
+    )
+
+
+def _aligned() -> dict[str, Column]:
+    """Match columns of the aligned text a."""
+    none = F.col("a").isNull()
+    return {
+        "text_id": F.col("a.text_id"), "confidence": F.when(none, 0.0).otherwise(g.alignment_confidence(F.col("a.d"), F.col("a.dir"), F.col("a.flat"))), "distance": F.coalesce("a.d", F.lit(float("inf"))),
+        "direction": F.coalesce("a.dir", F.lit("unknown")), "alignment": F.when(none, "none").when(F.col("a.flat"), "horizontal").otherwise("vertical"),
+    }
+
+
+def _taken() -> dict[str, Column]:
+    """Match columns of the text m that the box took."""
+    none = F.col("m").isNull()
+    return {
+        "text_id": F.col("m.text_id"), "confidence": F.when(none, 0.0).otherwise(g.proximity_confidence(F.col("m.dist"), F.col("m.direction"))), "distance": F.coalesce("m.dist", F.lit(float("inf"))),
+        "direction": F.coalesce("m.direction", F.lit("unknown")), "alignment": F.lit("none"),
+    }
+
+
+#: A page's boxes with m, the text each takes: none, or in order the nearest that no box before it took.
+_BARE = "transform(all, e -> named_struct('cy', e.cy, 'cx', e.cx, 'box_id', e.box_id, 'a', e.a, 'm', get(slice(e.c, 1, 0), 0)))"
+_EXCLUSIVE = f"""aggregate(all, slice({_BARE}, 1, 0), (acc, e) -> concat(acc, array(named_struct('cy', e.cy, 'cx', e.cx, 'box_id', e.box_id, 'a', e.a,
+  'm', get(filter(e.c, t -> not exists(acc, o -> o.m.text_id <=> t.text_id)), 0)))))"""
+
+
 def align_match(boxes: DataFrame, texts: DataFrame, band: int = ALIGN_BAND) -> DataFrame:
     """Each box's aligned text: same row before same column, then nearest along the axis; texts may repeat."""
-    p = _pairs(boxes, texts).where(f"abs(dy) < {band} or abs(dx) < {band}")
-    flat = F.abs("dy") < band
-    p = p.withColumns({"flat": flat, "d": F.when(flat, F.abs("dx")).otherwise(F.abs("dy")).cast("double")})
-    p = p.withColumn("dir", F.when(F.col("flat"), F.when(F.col("dx") > 0, "right").otherwise("left")).otherwise(F.when(F.col("dy") > 0, "below").otherwise("above")))
-    best = p.groupBy("page_id", "box_id").agg(F.min_by(F.struct("text_id", "d", "dir", "flat"), F.struct(~F.col("flat"), F.col("d"), F.col("text_id"))).alias("b"))
-    out = with_geometry(boxes).select("page_id", "box_id", "cy", "cx").join(best, ["page_id", "box_id"], "left")
-    conf = g.alignment_confidence(F.col("b.d"), F.col("b.dir"), F.col("b.flat"))
-    return out.select(
-        "page_id", "box_id", F.col("b.text_id").alias("text_id"), F.when(F.col("b").isNull(), 0.0).otherwise(conf).alias("confidence"), F.coalesce("b.d", F.lit(float("inf"))).alias("distance"),
-        F.coalesce("b.dir", F.lit("unknown")).alias("direction"), F.when(F.col("b").isNull(), "none").when(F.col("b.flat"), "horizontal").otherwise("vertical").alias("alignment"), "cy", "cx",
-    )
+    return _per_box(boxes, texts, band=band).select("page_id", "box_id", *(v.alias(k) for k, v in _aligned().items()), "cy", "cx")
+
+
+def _by_page(per_box: DataFrame, *more: Column) -> DataFrame:
+    return per_box.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("cy", "cx", "box_id", "c", "a"))).alias("all"), *more)
 
 
 def proximity_match(boxes: DataFrame, texts: DataFrame, radius: float = MATCH_RADIUS) -> DataFrame:
     """Exclusive nearest texts: boxes in (cy, cx) order each take their nearest unused text."""
-    near = _pairs(boxes, texts).where(F.col("dist") <= radius)
-    per_box = near.groupBy("page_id", "box_id", "cy", "cx").agg(F.array_sort(F.collect_list(F.struct("dist", "text_id", "direction"))).alias("c"))
-    pages = per_box.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("cy", "cx", "box_id", "c"))).alias("all"))
-    fold = """aggregate(all, named_struct('used', cast(array() as array<bigint>), 'out', cast(array() as array<struct<box_id:bigint,m:struct<dist:double,text_id:bigint,direction:string>>>)),
-      (acc, e) -> named_struct(
-        'used', concat(acc.used, transform(slice(filter(e.c, t -> not array_contains(acc.used, t.text_id)), 1, 1), t -> t.text_id)),
-        'out', concat(acc.out, array(named_struct('box_id', e.box_id, 'm', get(filter(e.c, t -> not array_contains(acc.used, t.text_id)), 0))))),
-      acc -> acc.out)"""
-    got = pages.select("page_id", F.explode(F.expr(fold)).alias("o")).select("page_id", F.col("o.box_id").alias("box_id"), F.col("o.m").alias("m"))
-    out = with_geometry(boxes).select("page_id", "box_id", "cy", "cx").join(got, ["page_id", "box_id"], "left")
-    conf = g.proximity_confidence(F.col("m.dist"), F.col("m.direction"))
-    return out.select(
-        "page_id", "box_id", F.col("m.text_id").alias("text_id"), F.when(F.col("m").isNull(), 0.0).otherwise(conf).alias("confidence"), F.coalesce("m.dist", F.lit(float("inf"))).alias("distance"),
-        F.coalesce("m.direction", F.lit("unknown")).alias("direction"), F.lit("none").alias("alignment"), "cy", "cx",
-    )
+    each = _by_page(_per_box(boxes, texts, radius)).select("page_id", F.explode(F.expr(_EXCLUSIVE)).alias("e")).select("page_id", "e.*")
+    return each.select("page_id", "box_id", *(v.alias(k) for k, v in _taken().items()), "cy", "cx")
 
 
 def post_process(matches: DataFrame) -> DataFrame:
@@ -149,11 +190,16 @@ def post_process(matches: DataFrame) -> DataFrame:
 
 
 def adaptive_match(boxes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Alignment on pages of one label side, exclusive proximity elsewhere; then one box a text."""
-    kinds = layouts(boxes, texts).select("page_id", F.col("layout_type").isin("right_labels", "left_labels", "below_labels", "above_labels").alias("sided"))
-    marked = boxes.join(kinds, "page_id")
-    sided, other = marked.where("sided"), marked.where("not sided")
-    return post_process(align_match(sided, texts).unionByName(proximity_match(other, texts)))
+    """Alignment on pages of one label side, exclusive proximity elsewhere; then one box a text.
+
+    One join gives each box all that the layout and both matches need.
+    """
+    sides = (F.count_if(F.col("side") == d).alias(d) for d in DIRECTIONS)
+    pages = _by_page(_per_box(boxes, texts), F.count("side").alias("n"), F.max("has_text").alias("has_text"), *sides)
+    pages = pages.select("page_id", "all", _layout_type(F.col("has_text")).isin("right_labels", "left_labels", "below_labels", "above_labels").alias("sided"))
+    each = pages.select("page_id", "sided", F.explode(F.expr(f"if(sided, {_BARE}, {_EXCLUSIVE})")).alias("e")).select("page_id", "sided", "e.*")
+    near = _taken()
+    return post_process(each.select("page_id", "box_id", *(F.when(F.col("sided"), v).otherwise(near[k]).alias(k) for k, v in _aligned().items()), "cy", "cx"))
 
 
 def survey_items(boxes: DataFrame, texts: DataFrame, matches: DataFrame) -> DataFrame:
