@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+import logging
+import os
 import random
 
 import duckdb
@@ -10,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridleaf.functions.text import ANSWER_NAMES
+from gridleaf.operators import boxes as bx
 from gridleaf.operators import correlate as co
 from gridleaf.operators import mapping as mp
 from gridleaf.operators import vision as vi
@@ -196,3 +201,78 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(got.columns)
     lines = lambda df: sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in df[cols].itertuples(index=False))
     assert lines(got) == lines(want)
+
+
+def test_answers_of_scans_by_command_line(spark, tmp_path, capsys):
+    px, places = page()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pgm").write_bytes(pgm(px))
+    (tmp_path / "in" / "broken.pgm").write_bytes(b"P5\n9 9\n255\nxx")
+    forms.main([f"file://{tmp_path}/in", f"file://{tmp_path}/out", "--scan", "--top", "0", "--bottom", "0"])
+    assert "4 boxes, 2 filled" in capsys.readouterr().out
+    rows = spark.read.option("header", "true").csv(f"file://{tmp_path}/out").collect()
+    first = [rows[0][n] for n in ANSWER_NAMES[:4]]
+    assert len(rows) == 1 and rows[0].path.endswith("a.pgm") and first == ["false", "true", "false", "true"]
+    # half of the page's own height is left out
+    wide, kept, errors = forms.answers_from_files(readers.scans(spark, f"file://{tmp_path}/in", "*"), f"file://{tmp_path}/again", top_percent=33, bottom_percent=0)
+    assert kept.count() == 2 and errors.count() == 1 and [wide.first()[n] for n in ANSWER_NAMES[:3]] == [False, True, None]
+
+
+def test_logger_has_one_handler():
+    for debug in (True, False):
+        log = forms.logger(debug, "gridleaf_test")
+        assert len(log.handlers) == 1 and log.isEnabledFor(logging.DEBUG) == debug
+
+
+def test_example_report(spark, tmp_path, caplog):
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples", "survey_report.py")
+    example = importlib.util.module_from_spec(importlib.util.spec_from_file_location("survey_report", path))
+    example.__spec__.loader.exec_module(example)
+    px, places = page()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pgm").write_bytes(pgm(px))
+    source = readers.scans(spark, f"file://{tmp_path}/in", "*").first().path
+    words = [(source, 0, i, 1, f"label{i}", x + 40, y, 60, 20, 90) for i, (x, y) in enumerate(places)]
+    spark.createDataFrame(words, "path string, page int, line_num long, word_num long, text string, x long, y long, w long, h long, confidence int").write.parquet(f"file://{tmp_path}/words")
+    example.main([f"file://{tmp_path}/in", f"file://{tmp_path}/words", f"file://{tmp_path}/out"])
+    items = spark.read.parquet(f"file://{tmp_path}/out/items")
+    assert {(r.label, r.is_filled) for r in items.collect()} == {(f"label{k}", k in (1, 3)) for k in range(4)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_equal_a_search_of_all_pairs(spark, seed):
+    r = random.Random(seed)
+    rows = [(p, b, r.randrange(900), r.randrange(900), 20, 20) for p in range(12) for b in r.sample(range(60), r.choice((0, 1, 2, 30, 45)))]
+    boxes = spark.createDataFrame(rows, "page_id long, box_id long, x long, y long, w long, h long").repartition(3)
+    want = {}
+    for p in {row[0] for row in rows}:
+        here = sorted(row[1:4] for row in rows if row[0] == p)
+        links = {a: [b[0] for b in here if b[0] != a and (b[1] - x) ** 2 + (b[2] - y) ** 2 <= 100**2] for a, x, y in here}
+        n = 0
+        for a, _, _ in here:
+            if (p, a) in want:
+                continue
+            if not links[a]:
+                want[p, a] = 0 if len(here) == 1 else -1
+                continue
+            todo = [a]
+            while todo:
+                k = todo.pop()
+                if (p, k) not in want:
+                    want[p, k] = n
+                    todo += links[k]
+            n += 1
+    assert {(c.page_id, c.box_id): c.cluster for c in co.clusters(boxes).collect()} == want
+
+
+def test_clusters_of_no_box(spark):
+    assert co.clusters(spark.createDataFrame([], "page_id long, box_id long, x long, y long, w long, h long")).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_answers_in_one_shuffle_equal_the_steps(spark, seed):
+    r = random.Random(seed)
+    rows = [(p, b, r.randrange(200), r.randrange(200), r.randrange(10, 40), r.randrange(10, 40), r.random(), r.choice((True, False, None))) for p in range(20) for b in range(r.randrange(1, 50))]
+    boxes = spark.createDataFrame(rows, "page_id long, box_id long, x long, y long, w long, h long, fill_score double, is_filled boolean")
+    steps = bx.wide_answers(bx.row_order(bx.without_overlaps(boxes), seq="seq"))
+    assert sorted(map(repr, bx.answers_of(boxes).collect())) == sorted(map(repr, steps.collect()))
