@@ -91,6 +91,15 @@ def _groups(whole: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(sums.any(1), sums.argmax(1), _VOTES.shape[1])
 
 
+def _layout(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first row of each text, row of each word, rows): texts are parted by zero rows, and an empty
+    one has a zero row of its own, so no window reaches into the next text."""
+    counts, pad = np.diff(first), max(WIDTHS) - 1
+    room = np.maximum(counts, 1) + pad
+    begin = np.cumsum(room) - room
+    return begin, np.arange(first[-1]) + np.repeat(begin - first[:-1], counts), int(room.sum()) + pad
+
+
 class Net:
     """Embedding -> filters -> maximum over the text -> logistic."""
 
@@ -105,13 +114,10 @@ class Net:
 
     def pooled(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(maxima [texts, filters], position of each, padded embeddings); texts are parted by zero rows."""
-        texts, pad = len(first) - 1, max(WIDTHS) - 1
         counts = np.diff(first)
-        size = int(counts.sum()) + pad * texts + pad
-        begin = first[:-1] + pad * np.arange(texts)
+        begin, row, size = _layout(first)
         x = np.zeros((size, DIM), np.float32)
         if len(ids):
-            row = np.arange(len(ids)) + pad * np.repeat(np.arange(texts), counts)
             e = self.E[ids[:, 0]]
             for k in range(1, ids.shape[1]):
                 e += self.E[ids[:, k]]
@@ -177,9 +183,8 @@ def train(texts: list[np.ndarray], groups: np.ndarray, labels: np.ndarray, seed:
                         dx_vals.append(net.W[w][j * DIM : (j + 1) * DIM, cols].T * g[:, None])
                 _step(net, w, dw + 1e-5 * net.W[w], grads, rate)
             if dx_rows and len(ids):
-                pad = max(WIDTHS) - 1
                 row_of = np.full(len(x), -1)
-                row_of[np.arange(len(ids)) + pad * np.repeat(np.arange(len(part)), np.diff(first))] = np.arange(len(ids))
+                row_of[_layout(first)[1]] = np.arange(len(ids))
                 rows = row_of[np.concatenate(dx_rows)]
                 vals = np.concatenate(dx_vals)[rows >= 0]
                 rows = rows[rows >= 0]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridleaf.llm import common, decontaminate, html, jaccard, langid, lm, pieces, secrets, substrings
+from gridleaf.llm import common, decontaminate, html, jaccard, langid, lm, pieces, secrets, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,3 +298,57 @@ def test_long_candidates_and_overlaps_equal_the_plain_way(monkeypatch):
         assert free == [(a, b) for a, b in high if not any(a < e and s < b for s, _, e in base)]
     monkeypatch.setattr(secrets, "PIECE", 7)
     assert secrets.all_spans(texts[:3]) == want[:3]
+
+
+def _plain_pooling(net, ids):
+    """Maxima of every filter over the words of one text, position by position."""
+    x = np.zeros((max(len(ids), 1) + max(toxicity.WIDTHS) - 1, toxicity.DIM))
+    for i, features in enumerate(ids):
+        x[i] = sum(net.E[k].astype(float) for k in features)
+    best = []
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            at = [max(0.0, sum(float(x[i + j] @ net.W[w][j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(w))) for i in range(max(len(ids), 1))]
+            best.append(max(at))
+    return np.array(best)
+
+
+def test_pooling_equals_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    net = toxicity.Net(3)
+    texts = [rng.integers(0, toxicity.BUCKETS, (n, 1 + len(toxicity.PREFIXES))) for n in (1, 0, 2, 7, 30, 0, 3)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    best = net.pooled(np.concatenate(texts), first)[0]
+    for got, ids in zip(best, texts, strict=True):
+        assert np.allclose(got, _plain_pooling(net, ids), atol=1e-5)
+
+
+def test_one_training_step_follows_the_numeric_gradient(monkeypatch):
+    """A step of one epoch moves each weight against the slope of the weighted log loss."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 400, (n, 1 + len(toxicity.PREFIXES))) for n in (4, 6, 3, 9, 5, 8)]
+    labels = np.array([1, 0, 1, 0, 0, 1])
+    ids, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def loss(net):
+        z = net.raw(ids, first).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))  # as many of one label as of the other: weights of 1
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    before, after = toxicity.Net(11), toxicity.train(texts, np.zeros(6, int), labels)
+    checked = 0
+    for part in (*((lambda net, w=w: net.W[w]) for w in toxicity.WIDTHS), lambda net: net.E):
+        moved = part(after) - part(before)
+        for at in np.argsort(-np.abs(moved), axis=None)[:300:30]:
+            place = np.unravel_index(at, moved.shape)
+            slopes = []
+            for sign in (1, -1):
+                net = toxicity.Net(11)
+                part(net)[place] += sign * 1e-2
+                slopes.append(loss(net))
+            slope = (slopes[0] - slopes[1]) / 2e-2
+            if abs(slope) > 1e-4:
+                assert np.sign(moved[place]) == -np.sign(slope), place
+                checked += 1
+    assert checked > 10
+    assert loss(after) < loss(before)
