@@ -115,12 +115,23 @@ def detection(boxes: DataFrame, width: int, height: int, t: Thresholds = Thresho
     return out.withColumn("score", score).withColumn("valid", F.col("score") >= 0.6)
 
 
-def fill(analysed: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """analysed: confidence, filled_score, is_filled of each box."""
+def fill(analysed: DataFrame, t: Thresholds = Thresholds(), order: str | None = None) -> DataFrame:
+    """analysed: confidence, filled_score, is_filled of each box.
+
+    With order, a column that tells a page's rows apart, means add up in its order, so that no
+    partitioning changes their last digits.
+    """
+    means = [F.avg("confidence").alias("avg_confidence"), F.avg("filled_score").alias("avg_score")]
+    if order:
+        means = [F.array_sort(F.collect_list(F.struct(order, "confidence", "filled_score"))).alias("each"), F.count("confidence").alias("n_confidence"), F.count("filled_score").alias("n_score")]
     out = analysed.groupBy("page_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("confidence") >= t.min_fill_confidence).alias("n_high"), F.avg("confidence").alias("avg_confidence"),
-        F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"), F.avg("filled_score").alias("avg_score"), F.count_if("is_filled").alias("n_filled"),
+        F.count("*").alias("n"), F.count_if(F.col("confidence") >= t.min_fill_confidence).alias("n_high"),
+        F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"), F.count_if("is_filled").alias("n_filled"), *means,
     )
+    if order:
+        total = "aggregate(each, 0D, (a, e) -> a + coalesce(e.{}, 0D)) / nullif({}, 0)"
+        out = out.withColumns({"avg_confidence": F.expr(total.format("confidence", "n_confidence")), "avg_score": F.expr(total.format("filled_score", "n_score"))})
+    out = out.select("page_id", "n", "n_high", "avg_confidence", "min_confidence", "max_confidence", "avg_score", "n_filled")
     return out.withColumn("score", F.col("avg_confidence") * (F.col("n_high") / F.col("n"))).withColumn("valid", F.col("score") >= 0.5)
 
 

@@ -19,9 +19,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Boxes with the inputs of the rule vote; more: further columns, as of lineitem or of its files (_metadata)."""
     order = Window.partitionBy("page_id").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
-    raw = read(spark, sf_dir, "lineitem").withColumn("page_id", F.col("l_partkey")).withColumn("box_id", F.row_number().over(order).cast("long") - 1)
+    raw = read(spark, sf_dir, "lineitem").selectExpr("*", *more).withColumn("page_id", F.col("l_partkey")).withColumn("box_id", F.row_number().over(order).cast("long") - 1)
     return raw.selectExpr(
         "page_id", "box_id",
         "100 + ((l_suppkey * 37) % 12) * 120 + cast(l_quantity as bigint) % 13 as x",
@@ -30,6 +31,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "20 + (l_linenumber * 5 + l_orderkey) % 21 as h",
         "round(l_discount * 5 + l_tax * 5, 4) as fill_score",
         "l_discount * 3 as dark_ratio", "l_discount * 2 as contour_area_ratio", "l_tax * 6 as cross_pattern_score", "l_linenumber % 3 as contour_count", "l_tax as edge_density",
+        *(c.rsplit(" as ")[-1] for c in more),
     ).withColumn("is_filled", F.col("fill_score") > 0.15)
 
 

@@ -276,3 +276,24 @@ def test_answers_in_one_shuffle_equal_the_steps(spark, seed):
     boxes = spark.createDataFrame(rows, "page_id long, box_id long, x long, y long, w long, h long, fill_score double, is_filled boolean")
     steps = bx.wide_answers(bx.row_order(bx.without_overlaps(boxes), seq="seq"))
     assert sorted(map(repr, bx.answers_of(boxes).collect())) == sorted(map(repr, steps.collect()))
+
+
+def test_rounding_is_that_of_sql(spark):
+    halves = [k / 64 for k in range(-64, 128)] + [12.65 / 32, 16.15 / 32, 1e9 + 1 / 64, 0.0]
+    values = [v for h in halves for v in (np.nextafter(h, -9e9), h, np.nextafter(h, 9e9))] + [float("inf"), float("-inf"), None]
+    values = [None if v is None else float(v) for v in values]
+    got = catalog.rounded(spark.createDataFrame(list(enumerate(values)), "i int, v double"), "v").orderBy("i").collect()
+    con = duckdb.connect()
+    want = con.execute("select round(v, 6) from (select unnest(range(len($1))) as i, unnest($1::double[]) as v) order by i", [values]).fetchall()
+    assert [r.v for r in got] == [v for (v,) in want]
+
+
+def test_fill_quality_of_many_pages_equals_its_sql(spark, tmp_path):
+    """On one thread SQL adds a page's scores in file order; on more its averages, and so ties in the sixth digit, depend on their number."""
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"copy (from '/root/testdata/sf0.1/lineitem.parquet') to '{tmp_path}/lineitem.parquet' (row_group_size 20480)")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(entry.oracle_sql()["quality_fill"])
+    cols, want = [c[0] for c in want.description], sorted(want.fetchall())
+    for d in ("/root/testdata/sf0.1", str(tmp_path)):  # one row group, and thirty read by several tasks
+        assert sorted(map(tuple, entry.queries()["quality_fill"](spark, d).select(*cols).collect())) == want
