@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +54,43 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[0]
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: Arrow's pool and malloc keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def give_back_driver(spark: SparkSession) -> None:
+    """give_back() for the driver, its JVM included.
+
+    Compiling the code of many plans leaves hundreds of MB that malloc has free and keeps: they add
+    up over a session's queries. A JVM without the command System.trim_native_heap keeps them.
+    """
+    give_back()
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    with contextlib.suppress(Py4JError):
+        # through the interface, as the server's own class is not accessible
+        kinds = gateway.new_array(jvm.java.lang.Class, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.java.lang.Class.forName(kind)
+        values = gateway.new_array(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it again.
 
     A lost executor then costs a reread and nothing is computed twice. The folder
-    goes when the driver's JVM ends.
+    goes when the driver's JVM ends. The driver's freed memory goes back (see give_back_driver).
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back_driver(spark)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
@@ -129,9 +158,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return with_release
 

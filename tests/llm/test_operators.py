@@ -52,6 +52,39 @@ def test_words_and_hashes_follow_the_byte_class():
             assert got == [common.hash_word(x) for x in want]
 
 
+def test_saving_gives_back_what_the_drivers_jvm_has_freed(spark):
+    jvm = spark.sparkContext._jvm
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, pid = field.get(None), jvm.java.lang.ProcessHandle.current().pid()
+
+    def native_mb():  # without the heap, which may grow meanwhile
+        total, heap = 0, False
+        with open(f"/proc/{pid}/smaps") as f:
+            for line in f:
+                if re.match(r"[0-9a-f]+-", line):
+                    first, last = (int(x, 16) for x in line.split()[0].split("-"))
+                    heap = last - first > 64 << 20
+                elif line.startswith("Anonymous:") and not heap:
+                    total += int(line.split()[1])
+        return total / 1024
+
+    common.saved(spark.range(1), "before")
+    before = native_mb()
+    places = [unsafe.allocateMemory(100_000) for _ in range(3000)]
+    for at in places:
+        unsafe.setMemory(at, 100_000, 1)
+    for i, at in enumerate(places):
+        if i % 20:  # the others hold malloc's arenas in place
+            unsafe.freeMemory(at)
+    kept = native_mb() - before
+    common.saved(spark.range(1), "after")
+    left = native_mb() - before
+    for at in places[::20]:
+        unsafe.freeMemory(at)
+    assert kept > 150 and left < kept - 100, (kept, left)
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(500, 500 + i) for i in range(1, 60)]
