@@ -35,6 +35,12 @@ def iou_pairs_on_page(spark, d):
     return c.iou_pairs(spark, d)
 
 
+@query("wide_boxes_every_position", BOXES_SQL, c.rows_sql("boxes", "box_id"), "select * from (pivot (select page_id, 'box' || position as box, is_filled from placed) on box using bool_or(is_filled) group by page_id)")
+def wide_boxes_every_position(spark, d):
+    """wide_boxes without a least number of columns: its SQL takes them from the data, too."""
+    return bx.wide_boxes(bx.row_order(fx.plain_boxes(spark, d)))
+
+
 # ------------------------------------------------------------------ images
 
 #: The 8 x 8 rasters with the pixels beyond an edge mirrored, so that the second difference of every pixel is defined.

@@ -97,6 +97,25 @@ def test_wide_boxes_have_a_column_for_every_box(spark):
     assert len(bx.wide_boxes(bx.row_order(b.where("page_id = 2")), 50).columns) == 51
 
 
+def test_wide_boxes_of_every_position_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from gridleaf.plans import catalog, more  # noqa: F401  (registers its queries)
+
+    con = duckdb.connect()
+    con.sql("create table few as select * from '/root/testdata/sf0.001/lineitem.parquet' limit 60")
+    con.sql(f"copy (select * replace (case when rowid < 53 then 1 else 2 end as l_partkey) from few) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.sql(catalog.ORACLES["wide_boxes_every_position"])
+    names = ["page_id", *(f"box{i}" for i in range(1, 54))]
+    assert sorted(want.columns) == sorted(names)
+    rows = sorted(want.select(*names).fetchall())
+    for name in ("wide_boxes_every_position", "wide_boxes"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        assert df.columns == names and sorted(tuple(r) for r in df.collect()) == rows
+    assert None not in rows[0] and rows[1][8:] == (None,) * 46
+
+
 def test_exclusion_by_list_and_by_table(spark):
     b = make(spark, [(1, 0, 10, 209, 20, 22, 0.0), (1, 1, 10, 211, 20, 22, 0.0), (1, 2, 10, 2080, 20, 20, 0.0), (2, 0, 10, 0, 20, 20, 0.0)])
     kept, out = bx.split_excluded(b, bx.exclusion_bounds(1700, 2200))
